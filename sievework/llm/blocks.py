@@ -33,6 +33,17 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def text_chunks(batches: Iterator[pa.RecordBatch], size: int = BLOCK_BYTES) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Keys (the first column), bytes and starts of about so many bytes of texts (the second) at a time."""
+    for batch in batches:
+        buf, starts = text_buffer(batch.column(1))
+        k = 0
+        while k < batch.num_rows:
+            to = max(k + 1, int(np.searchsorted(starts, starts[k] + size, side="right")) - 1)
+            yield batch.column(0).slice(k, to - k), buf[starts[k] : starts[to]], starts[k : to + 1] - starts[k]
+            k = to
+
+
 def pack(block: int, ids: np.ndarray, starts: np.ndarray, buf: np.ndarray) -> dict:
     return {"block": block, "n": len(ids), "ids": ids.astype("<i8").tobytes(), "lens": np.diff(starts).astype("<i8").tobytes(), "data": zstandard.ZstdCompressor(3).compress(buf.tobytes())}
 

@@ -48,9 +48,9 @@ def powers(lane: int, n: int, inverse: bool = False) -> np.ndarray:
     return have[:n]
 
 
-def word_spans(buf: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(buf: np.ndarray, starts: np.ndarray, parting: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words of a buffer of texts, and the text of each; starts: of the texts, and the end."""
-    space = SPACE[buf]
+    space = parting[buf]
     edge = np.ones(len(buf) + 1, bool)
     edge[:-1] = space
     begin = ~space

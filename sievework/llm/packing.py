@@ -27,14 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import text_buffer
+from .blocks import text_chunks
 from .bytehash import word_hashes, word_spans
 from .store import written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Words a worker keeps the ids of; text it encodes at a time; pieces a partition packs, about.
+#: Words a worker keeps the ids of; pieces a partition packs, about.
 KEEP_WORDS = 1 << 21
-CHUNK_BYTES = 4 << 20
 PARTITION_PIECES = 1 << 17
 
 _tables: dict[str, "WordTable"] = {}
@@ -108,22 +107,16 @@ def token_pieces(docs: DataFrame, length: int = 2048, end_id: int = 0, vocabular
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_table(path)
-        for batch in batches:
-            keys = batch.column(0).to_pylist()
-            buf, starts = text_buffer(batch.column(1))
-            k = 0
-            while k < len(keys):
-                to = max(k + 1, int(np.searchsorted(starts, starts[k] + CHUNK_BYTES, side="right")) - 1)
-                ids, counts = words.encode(buf[starts[k] : starts[to]], starts[k : to + 1] - starts[k])
-                rows, at = [], 0
-                for key, count in zip(keys[k:to], counts.tolist(), strict=True):
-                    own = np.append(ids[at : at + count], np.uint32(end_id)).astype("<u4")
-                    at += count
-                    for piece, start in enumerate(range(0, count + 1, length)):
-                        part = own[start : start + length]
-                        rows.append({"doc_id": key, "piece": piece, "start": start, "length": len(part), "ids_crc32": zlib.crc32(part.tobytes())} | ({"ids": part} if with_ids else {}))
-                yield pa.RecordBatch.from_pylist(rows, schema)
-                k = to
+        for keys, buf, starts in text_chunks(batches):
+            ids, counts = words.encode(buf, starts)
+            rows, at = [], 0
+            for key, count in zip(keys.to_pylist(), counts.tolist(), strict=True):
+                own = np.append(ids[at : at + count], np.uint32(end_id)).astype("<u4")
+                at += count
+                for piece, start in enumerate(range(0, count + 1, length)):
+                    part = own[start : start + length]
+                    rows.append({"doc_id": key, "piece": piece, "start": start, "length": len(part), "ids_crc32": zlib.crc32(part.tobytes())} | ({"ids": part} if with_ids else {}))
+            yield pa.RecordBatch.from_pylist(rows, schema)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, PIECES + (", ids array<long>" if with_ids else ""))
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .store import kept
 
 BLOCK_BYTES = 4 << 20
-BLOCK = "block long, n long, ids binary, lens binary, data binary"
+BLOCK = "block long, n long, ids binary, lens binary, data binary, carried binary"
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -57,25 +57,40 @@ def unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(row["ids"], np.int64), starts, np.frombuffer(raw, np.uint8)
 
 
+def as_stream(t: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(t)
+    return sink.getvalue().to_pybytes()
+
+
+def from_stream(raw: bytes) -> pa.Table:
+    return pa.ipc.open_stream(raw).read_all()
+
+
 def table(rows: list[dict], schema: pa.Schema) -> pa.Table:
     return pa.Table.from_pylist(rows, schema)
 
 
-def pack_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int, int]:
-    """The texts in blocks, dealt out by block and checkpointed; with the number of blocks and bytes.
+def pack_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, carry: list[str] | None = None) -> tuple[DataFrame, int, int]:
+    """The texts in blocks, dealt out by block and checkpointed; with the number of blocks and packed bytes.
+
+    ``carried`` holds the columns named in ``carry``, as an Arrow stream.
 
     A block is numbered by the partition it was made in and its place there, which a rerun of the task
     repeats as long as the input is read in the same order (a table is).
     """
-    schema = pa.schema([("block", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("lens", pa.binary()), ("data", pa.binary())])
+    schema = pa.schema([("block", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("lens", pa.binary()), ("data", pa.binary()), ("carried", pa.binary())])
+    carry = carry or []
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        ids, lens, parts, size = [], [], [], 0
+        ids, lens, parts, others, size = [], [], [], [], 0
 
         def out() -> pa.RecordBatch:
             starts = np.concatenate([[0], np.cumsum(np.concatenate(lens))])
-            return pa.RecordBatch.from_pylist([pack(number, np.concatenate(ids), starts, np.concatenate(parts))], schema)
+            row = pack(number, np.concatenate(ids), starts, np.concatenate(parts))
+            return pa.RecordBatch.from_pylist([row | {"carried": as_stream(pa.Table.from_batches(others)) if carry else None}], schema)
 
         for batch in batches:
             keys = batch.column(0).cast(pa.int64()).to_numpy(zero_copy_only=False)
@@ -86,16 +101,17 @@ def pack_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 ids.append(keys[k:to])
                 lens.append(np.diff(starts[k : to + 1]))
                 parts.append(buf[starts[k] : starts[to]])
+                others.append(batch.slice(k, to - k).select(range(2, batch.num_columns)))
                 size += int(starts[to] - starts[k])
                 k = to
                 if size >= block_bytes // 2 and (k < len(keys) or size >= block_bytes):
                     yield out()
                     number += 1
-                    ids, lens, parts, size = [], [], [], 0
+                    ids, lens, parts, others, size = [], [], [], [], 0
         if ids:
             yield out()
 
-    packed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL").mapInArrow(make, BLOCK)
+    packed = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), *[F.col(c) for c in carry]).where("_id IS NOT NULL").mapInArrow(make, BLOCK)
     n = max(8, docs.sparkSession.sparkContext.defaultParallelism, docs.rdd.getNumPartitions())
     packed = kept(packed.repartition(n, "block"))
     blocks, size = packed.agg(F.count("*"), F.coalesce(F.sum(F.expr("aggregate(array(length(data)), 0L, (a, x) -> a + x)")), F.lit(0))).first()
@@ -120,12 +136,13 @@ def shards(messages: DataFrame, f: Callable[[list[dict]], list[dict]], schema: s
     return messages.groupBy("shard").applyInArrow(lambda t: table(f(t.to_pylist()), arrow), schema)
 
 
-def answered(blocks: DataFrame, answers: DataFrame, f: Callable[[dict, list[dict]], list[dict]], schema: str, arrow: pa.Schema) -> DataFrame:
+def answered(blocks: DataFrame, answers: DataFrame, f: Callable[[dict, list[dict]], list[dict] | pa.Table], schema, arrow: pa.Schema) -> DataFrame:
     """What each block makes of its answers: f(block, answers); blocks are dealt out by block already."""
 
     def go(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = left.to_pylist()
-        return table(f(rows[0], right.to_pylist()) if rows else [], arrow)
+        got = f(rows[0], right.to_pylist()) if rows else []
+        return got if isinstance(got, pa.Table) else table(got, arrow)
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(go, schema)
 

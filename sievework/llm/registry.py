@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from . import ann, merkle, mixing, packing, substring_dedup, suffix_dedup
+from . import ann, html_text, merkle, mixing, ngram_join, packing, quality, substring_dedup, suffix_dedup, toxicity
 
-QUERIES = {f.__name__: f for f in (packing.op1_best_fit_packing, substring_dedup.op3_substring_dedup, merkle.op4_merkle_fingerprints, mixing.op7_mixing, suffix_dedup.op8_suffix_dedup, ann.op10_nearest_neighbours)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        packing.op1_best_fit_packing,
+        toxicity.op2_toxicity,
+        substring_dedup.op3_substring_dedup,
+        merkle.op4_merkle_fingerprints,
+        html_text.op5_html_extraction,
+        quality.op6_quality,
+        mixing.op7_mixing,
+        suffix_dedup.op8_suffix_dedup,
+        ngram_join.op9_ngram_join,
+        ann.op10_nearest_neighbours,
+    )
+}
 ORACLES = {"op4_merkle_fingerprints": merkle.ORACLE}

@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import blocks as B
 from .bytehash import U, _table, byte_grams, stretch_hashes
@@ -169,11 +170,27 @@ def _pairs(a: np.ndarray, b: np.ndarray):
     return order, new_a, new
 
 
-def repeated_byte_strings(docs: DataFrame, size: int = 200, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, split: int = SPLIT) -> DataFrame:
-    """Each document with its bytes, removed bytes and maximal removed runs, and what is kept (see RESULT)."""
+def without_repeats(docs: DataFrame, size: int = 200, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", split: int = SPLIT) -> DataFrame:
+    """The documents with all their columns, their texts cut to what is kept.
+
+    The column named ``length_col``, if there is one, gets the new texts' lengths; rows with a null id stay
+    as they are.
+    """
+    whole = repeated_byte_strings(docs, size, id_col, text_col, split=split, carry=docs.columns).where(F.col("_kept").isNotNull())
+    new = {text_col: F.when(F.col(text_col).isNotNull(), F.col("_kept"))}
+    if length_col in docs.columns:
+        new[length_col] = F.when(F.col(text_col).isNotNull(), F.length("_kept")).otherwise(F.col(length_col)).cast(docs.schema[length_col].dataType)
+    return whole.withColumns(new).select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+
+
+def repeated_byte_strings(docs: DataFrame, size: int = 200, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, split: int = SPLIT, carry: list[str] | None = None) -> DataFrame:
+    """Each document with its bytes, removed bytes and maximal removed runs, and what is kept (see RESULT).
+
+    With ``carry``, its columns instead, and ``_kept`` for what is kept of the text.
+    """
     if size < GRAM:
         raise ValueError(f"size must be {GRAM} at least")
-    packed, _, total = B.pack_blocks(docs, id_col, text_col)
+    packed, _, total = B.pack_blocks(docs, id_col, text_col, carry=carry)
     n = max(1, total // (26 * SHARD_RUNS))
 
     def distinct(row: dict):
@@ -283,7 +300,7 @@ def repeated_byte_strings(docs: DataFrame, size: int = 200, id_col: str = "doc_i
                 out.setdefault(int(block), []).append(ref[1:, ref[0] == block])
         return [{"block": k, "shard": messages[0]["shard"], "part": -1, "a": r[0].tobytes(), "b": r[1].tobytes(), "c": r[2].astype("<i4").tobytes()} for k, v in out.items() for r in [np.concatenate(v, axis=1)]]
 
-    def result(row: dict, answers: list[dict]) -> list[dict]:
+    def result(row: dict, answers: list[dict]) -> list[dict] | pa.Table:
         (ids, starts, buf, first, last, number, one, _, by, _, anchor, context), status = read(row, answers)
         full = np.zeros(len(by), bool)
         full[by] = status & 1 > 0
@@ -309,6 +326,8 @@ def repeated_byte_strings(docs: DataFrame, size: int = 200, id_col: str = "doc_i
             kept = raw[i:j][~cut].tobytes()
             spans = int(cut[:1].sum() + (cut[1:] & ~cut[:-1]).sum())
             out.append({"doc_id": int(ids[k]), "n_bytes": int(j - i), "n_removed": int(cut.sum()), "n_spans": spans, "kept_sha256": hashlib.sha256(kept).hexdigest(), "kept_text": kept.decode("utf-8", "ignore") if with_text else None})
+        if carry:
+            return B.from_stream(row["carried"]).append_column("_kept", pa.array([o["kept_text"] for o in out], pa.string()))
         return out
 
     judged = B.shards(B.send(packed, census, _MESSAGES, _MESSAGE), judge, _MESSAGES, _MESSAGE)
@@ -318,6 +337,9 @@ def repeated_byte_strings(docs: DataFrame, size: int = 200, id_col: str = "doc_i
     merged = B.shards(searched.where("block IS NULL"), merge, _MESSAGES, _MESSAGE)
     answers = judged.unionByName(searched.where(F.col("block").isNotNull())).unionByName(merged)
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
+    if carry:
+        both = docs.select(carry).withColumn("_kept", F.lit(None).cast("string")).schema
+        return B.answered(packed, answers, result, both, to_arrow_schema(both))
     out = B.answered(packed, answers, result, RESULT, schema)
     return out if with_text else out.drop("kept_text")
 

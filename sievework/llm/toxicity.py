@@ -303,8 +303,8 @@ def _some(w: Words, numbers: np.ndarray) -> Words:
     return out
 
 
-def scored(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS, keep: bool = False) -> DataFrame:
-    """doc_id, held_out, score (higher: label 1 likelier) and predicted; ``keep`` adds ``text`` for later use."""
+def scored(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """doc_id, held_out, score (higher: label 1 likelier) and predicted."""
     rows = training_rows(docs, labels, label, train_rows, id_col, text_col)
     model = fit(rows["text"].tolist(), rows["y"].to_numpy())
     shared = docs.sparkSession.sparkContext.broadcast(model)  # tables of 2**WORD_BITS and 2**GRAM_BITS rows
@@ -320,5 +320,22 @@ def scored(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold:
     return out.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def clean(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows, with all their columns, that score below the threshold."""
+    rows = training_rows(docs, labels, label, train_rows, id_col, text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(fit(rows["text"].tolist(), rows["y"].to_numpy()))
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            if m is not None:
+                pair = pa.RecordBatch.from_arrays([batch[id_col], batch[text_col]], names=["id", "text"])
+                score = [sigmoid(logits(m, Words(buf, starts)) - m["cut"]) for _, buf, starts in text_chunks([pair], 1 << 20)]
+                batch = batch.filter(pa.array(np.concatenate([*score, np.zeros(0)]) < threshold))
+            yield batch
+
+    return docs.mapInArrow(sift, docs.schema)
+
+
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
     return scored(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -211,7 +211,7 @@ def logits(model: dict, w: Words, batch: int = 4096) -> np.ndarray:
     return highest(np.concatenate([run(model, given, idx[k : k + batch]) for k in range(0, len(idx), batch)]) if len(idx) else np.zeros(0), text, w.n_texts)
 
 
-def fit(texts: list[str], y: np.ndarray, seed: int = 5, rounds: int = 4, batch: int = 128) -> dict | None:
+def fit(texts: list[str], y: np.ndarray, seed: int = 5, steps: int = 400, batch: int = 128) -> dict | None:
     """The trained model; None without both classes."""
     if len(set(y.tolist())) < 2:
         return None
@@ -257,7 +257,7 @@ def fit(texts: list[str], y: np.ndarray, seed: int = 5, rounds: int = 4, batch:
         return order[nth < many]
 
     rank = first
-    for turn in range(rounds):
+    while step < steps:
         pos = np.flatnonzero(use[text] & (y[text] == 1))
         neg = np.flatnonzero(use[text] & (y[text] == 0))
         chosen = np.concatenate([pos[best(rank[pos], text[pos], 1)], neg[best(rank[neg], text[neg], 1)], neg[best(rng.random(len(neg)), text[neg], 1)]])
@@ -270,7 +270,7 @@ def fit(texts: list[str], y: np.ndarray, seed: int = 5, rounds: int = 4, batch:
             local = np.where(part == len(w.word), -1, local)
             step += 1
             g = gradients(model, sub, inputs(model, sub), local, y[text[at]].astype(np.float32))
-            rate = 0.01 / (1 + turn)
+            rate = 0.01 * max(0.1, 1 - step / steps)
             for name in ("w", "b", "va", "vb"):
                 model[name] = adam(name, model[name], np.asarray(g[name], np.float32), rate)
             for name in ("u", "wx", "bx"):

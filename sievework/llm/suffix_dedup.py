@@ -35,6 +35,8 @@ from .store import written
 GRAM = 64
 #: Contexts of one anchor that go to one suffix array; more are split.
 SPLIT = 20_000
+#: Text of a block; a task holds some forty arrays of eight bytes for each of its bytes, at times.
+BLOCK_BYTES = 2 << 20
 #: Runs a shard holds, about.
 SHARD_RUNS = 1 << 18
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
@@ -190,7 +192,7 @@ def repeated_byte_strings(docs: DataFrame, size: int = 200, id_col: str = "doc_i
     """
     if size < GRAM:
         raise ValueError(f"size must be {GRAM} at least")
-    packed, _, total = B.pack_blocks(docs, id_col, text_col, carry=carry)
+    packed, _, total = B.pack_blocks(docs, id_col, text_col, BLOCK_BYTES, carry)
     n = max(1, total // (26 * SHARD_RUNS))
 
     def distinct(row: dict):
@@ -330,10 +332,10 @@ def repeated_byte_strings(docs: DataFrame, size: int = 200, id_col: str = "doc_i
             return B.from_stream(row["carried"]).append_column("_kept", pa.array([o["kept_text"] for o in out], pa.string()))
         return out
 
-    judged = B.shards(B.send(packed, census, _MESSAGES, _MESSAGE), judge, _MESSAGES, _MESSAGE)
+    judged = written(B.shards(B.send(packed, census, _MESSAGES, _MESSAGE), judge, _MESSAGES, _MESSAGE), "judged")
     sent = B.answered(packed, judged, texts, _MESSAGES, _MESSAGE)
     searched = sent.groupBy("shard", "part").applyInArrow(lambda t: B.table(search(t.to_pylist()), _MESSAGE), _MESSAGES)
-    judged, searched = written(judged, "judged"), written(searched, "searched")
+    searched = written(searched, "searched")
     merged = B.shards(searched.where("block IS NULL"), merge, _MESSAGES, _MESSAGE)
     answers = judged.unionByName(searched.where(F.col("block").isNotNull())).unionByName(merged)
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])

@@ -38,7 +38,7 @@ SHARD_GRAMS = 1 << 20
 BUNDLE_PAIRS = 2000
 BROADCAST_NODES = 2_000_000
 #: Distances in a group, ordered by size, at which each round pairs its nodes; the last has no end.
-ROUNDS = (1, 3, 12, 64, 512, 1 << 62)
+ROUNDS = (1, 3, 24, 512, 1 << 62)
 
 
 def sets_of(buf: np.ndarray, starts: np.ndarray, n: int) -> Iterator[np.ndarray]:

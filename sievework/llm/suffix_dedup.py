@@ -36,9 +36,9 @@ GRAM = 64
 #: Contexts of one anchor that go to one suffix array; more are split.
 SPLIT = 20_000
 #: Text of a block; a task holds some forty arrays of eight bytes for each of its bytes, at times.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Runs a shard holds, about.
-SHARD_RUNS = 1 << 18
+SHARD_RUNS = 1 << 16
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
 _MESSAGE = pa.schema([("block", pa.int64()), ("shard", pa.int64()), ("part", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
 _MESSAGES = "block long, shard long, part long, a binary, b binary, c binary, d binary"

@@ -2,6 +2,48 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from sievework.functions import text as T
+from sievework.operators import dedup
+
+from . import relational
+
 FLAGSHIP = "JOIN04_simhash_near_duplicates"
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+
+
+def _docs(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def _text(make):
+    return lambda spark, sf_dir: _docs(spark, sf_dir).select("doc_id", make(F.col("text")))
+
+
+_NORM = "lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(text, 'يك', 'یک'), '[ؐ-ًؚ-ٰٟ]', '', 'g'), '[​-‏‪-‮⁠﻿]', '', 'g'), '<[^>]+>', ' ', 'g'), '[ \\t\\n\\r\\f]+', ' ', 'g')))"
+_WORDS = f"list_filter(string_split({_NORM}, ' '), lambda w: w <> '')"
+_SHINGLES = f"SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END AS g FROM (SELECT doc_id, {_WORDS} AS w FROM documents)"
+
+QUERIES: dict = {
+    "TXT02_normalized": _text(lambda t: T.normalized_for_hash(t).alias("norm")),
+    "TXT03_content_hash": _text(lambda t: T.content_hash(t).alias("content_hash")),
+    "TXT05_title_hash": _text(lambda t: F.sha2(T.normalized_title(F.substring(t, 1, 80)), 256).alias("title_hash")),
+    "TXT06_shingle_counts": _text(lambda t: F.size(T.shingles(T.normalized_for_hash(t))).alias("n_shingles")),
+    "TXT07_simhash": lambda spark, sf_dir: dedup.with_simhash(_docs(spark, sf_dir)),
+    "TXT12_token_count": _text(lambda t: F.size(T.token_set(t)).alias("n_tokens")),
+    "TXT15_numbers": _text(lambda t: F.array_join(T.numbers(t), "|").alias("numbers")),
+    "TXT22_quarter_hour": lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", T.bucket_15m(F.col("ts")).alias("bucket")),
+    "TXT52_lineage": lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", T.lineage_key(F.col("url")).alias("lineage")),
+    "TXT60_slug": _text(lambda t: T.slug(F.substring(t, 1, 100)).alias("slug")),
+    FLAGSHIP: lambda spark, sf_dir: dedup.near_pairs(dedup.with_simhash(_docs(spark, sf_dir))),
+} | relational.QUERIES
+ORACLES: dict[str, str] = {
+    "TXT02_normalized": f"SELECT doc_id, {_NORM} AS norm FROM documents",
+    "TXT03_content_hash": f"SELECT doc_id, sha256({_NORM}) AS content_hash FROM documents",
+    "TXT06_shingle_counts": f"SELECT doc_id, len(g)::INT AS n_shingles FROM ({_SHINGLES})",
+    "TXT12_token_count": "SELECT doc_id, len(list_distinct(list_filter(regexp_split_to_array(lower(text), '[ \\n]+'), lambda w: length(w) > 1)))::INT AS n_tokens FROM documents",
+    "TXT15_numbers": "SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)*'))), '|') AS numbers FROM documents",
+    "TXT22_quarter_hour": "SELECT event_id, strftime(ts, '%Y%m%d%H') || (minute(ts) // 15)::VARCHAR AS bucket FROM events",
+    "TXT52_lineage": "SELECT page_id, 'dom:' || lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1)) AS lineage FROM pages",
+    "TXT60_slug": "SELECT doc_id, substring(regexp_replace(regexp_replace(lower(substring(text, 1, 100)), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 1, 60) AS slug FROM documents",
+} | relational.ORACLES

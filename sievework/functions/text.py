@@ -50,10 +50,13 @@ def simhash64(grams: Column) -> Column:
     """TXT-07: bit i is set where more shingles' hashes have it than not; from the first 8 bytes of MD5."""
     hashes = F.transform(grams, lambda g: F.conv(F.substring(F.md5(g), 1, 16), 16, -10).cast("long"))
 
+    def has(i: int):
+        return lambda x: F.getbit(x, F.lit(i)) == 1
+
     def of(h: Column) -> Column:
         out = F.lit(0).cast("long")
         for i in range(64):
-            count = F.size(F.filter(h, lambda x, i=i: F.getbit(x, F.lit(i)) == 1))
+            count = F.size(F.filter(h, has(i)))
             out = out.bitwiseOR(F.when(count * 2 > F.size(h), F.expr(f"shiftleft(1L, {i})")).otherwise(F.lit(0).cast("long")))
         return out
 

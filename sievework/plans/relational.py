@@ -21,9 +21,9 @@ SQL: dict[str, str] = {
     "AGG08_extremes": "SELECT min(ts) AS first_ts, max(ts) AS last_ts, max(event_id) + 1 AS next_id FROM events",
     "AGG09_event_recompute": "SELECT user_id, count(*) AS report_count, count(DISTINCT CASE WHEN value > 10 THEN event_type END) AS independent_count, min(ts) AS first_seen, max(ts) AS last_seen FROM events GROUP BY user_id",
     "AGG11_pivot_counts": "SELECT o_custkey, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS supports, sum(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END) AS contradicts, sum(CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END) AS context FROM orders GROUP BY o_custkey",
-    "AGG12_identity_shares": "WITH f AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events) SELECT event_type, count(*) AS n, round(count(*) * 1.0 / sum(count(*)) OVER (), 6) AS share FROM f WHERE k = 1 GROUP BY event_type",
+    "AGG12_identity_shares": "WITH f AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events) SELECT event_type, count(*) AS n, round(CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (), 6) AS share FROM f WHERE k = 1 GROUP BY event_type",
     "AGG13_diversity_top": "SELECT source, count(*) AS n FROM documents GROUP BY source ORDER BY n DESC, source LIMIT 5",
-    "AGG14_share": "SELECT round(avg(CASE WHEN lang = 'en' THEN 1.0 ELSE 0.0 END), 6) AS share FROM documents",
+    "AGG14_share": "SELECT round(CAST(sum(CASE WHEN lang = 'en' THEN 1 ELSE 0 END) AS DOUBLE) / count(*), 6) AS share FROM documents",
     "AGG16_modal": "WITH c AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY source, lang), r AS (SELECT source, lang, row_number() OVER (PARTITION BY source ORDER BY n DESC, lang) AS k FROM c WHERE lang <> 'und') SELECT source, lang FROM r WHERE k = 1",
     "AGG19_zero_activity": "SELECT c.c_custkey FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY c.c_custkey HAVING count(o.o_orderkey) = 0",
     "AGG20_funnel": "WITH a AS (SELECT c_nationkey, count(*) AS customers FROM customer GROUP BY c_nationkey), b AS (SELECT c.c_nationkey, count(*) AS orders_n FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey GROUP BY c.c_nationkey), s AS (SELECT s_nationkey, count(*) AS suppliers FROM supplier GROUP BY s_nationkey) SELECT n.n_name, coalesce(a.customers, 0) AS customers, coalesce(b.orders_n, 0) AS orders_n, coalesce(s.suppliers, 0) AS suppliers FROM nation n LEFT JOIN a ON a.c_nationkey = n.n_nationkey LEFT JOIN b ON b.c_nationkey = n.n_nationkey LEFT JOIN s ON s.s_nationkey = n.n_nationkey",

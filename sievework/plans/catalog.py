@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sievework.functions import claims as C
 from sievework.functions import text as T
-from sievework.operators import dedup
+from sievework.operators import claims, dedup
 
 from . import relational
 
@@ -20,6 +21,18 @@ def _text(make):
     return lambda spark, sf_dir: _docs(spark, sf_dir).select("doc_id", make(F.col("text")))
 
 
+def _compared(spark, sf_dir):
+    turns = claims.with_claims(spark.read.parquet(f"{sf_dir}/conversations.parquet"), "text")
+    return claims.against_previous(turns, "conv_id", "turn").select("conv_id", "turn", "decision", F.array_join("conflicts", "|").alias("conflicts"))
+
+
+_CLAIM = f"(SELECT doc_id, trim(regexp_replace(translate(coalesce(text, ''), '{C.DIGITS[0] + C.ZWNJ}يك', '{C.DIGITS[1]} یک'), '[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+', ' ', 'g')) AS t FROM documents)"
+
+
+def _any(keywords):
+    return "(" + " OR ".join(f"contains(t, '{k.replace(C.ZWNJ, ' ').strip()}')" for k in keywords) + ")"
+
+
 _NORM = "lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(text, 'يك', 'یک'), '[ؐ-ًؚ-ٰٟ]', '', 'g'), '[​-‏‪-‮⁠﻿]', '', 'g'), '<[^>]+>', ' ', 'g'), '[ \\t\\n\\r\\f]+', ' ', 'g')))"
 _WORDS = f"list_filter(string_split({_NORM}, ' '), lambda w: w <> '')"
 _SHINGLES = f"SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END AS g FROM (SELECT doc_id, {_WORDS} AS w FROM documents)"
@@ -32,6 +45,10 @@ QUERIES: dict = {
     "TXT07_simhash": lambda spark, sf_dir: dedup.with_simhash(_docs(spark, sf_dir)),
     "TXT12_token_count": _text(lambda t: F.size(T.token_set(t)).alias("n_tokens")),
     "TXT15_numbers": _text(lambda t: F.array_join(T.numbers(t), "|").alias("numbers")),
+    "TXT17_claim_class": _text(lambda t: C.claim_class(C.normalized(t)).alias("claim_class")),
+    "TXT18_negation": _text(lambda t: C.negated(C.normalized(t)).alias("negation")),
+    "TXT19_certainty": _text(lambda t: C.certainty(C.normalized(t)).alias("certainty")),
+    "STR09_claim_compare": _compared,
     "TXT22_quarter_hour": lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", T.bucket_15m(F.col("ts")).alias("bucket")),
     "TXT52_lineage": lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", T.lineage_key(F.col("url")).alias("lineage")),
     "TXT60_slug": _text(lambda t: T.slug(F.substring(t, 1, 100)).alias("slug")),
@@ -43,6 +60,9 @@ ORACLES: dict[str, str] = {
     "TXT06_shingle_counts": f"SELECT doc_id, len(g)::INT AS n_shingles FROM ({_SHINGLES})",
     "TXT12_token_count": "SELECT doc_id, len(list_distinct(list_filter(regexp_split_to_array(lower(text), '[ \\n]+'), lambda w: length(w) > 1)))::INT AS n_tokens FROM documents",
     "TXT15_numbers": "SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)*'))), '|') AS numbers FROM documents",
+    "TXT17_claim_class": "SELECT doc_id, CASE " + " ".join(f"WHEN {_any(k)} THEN '{n}'" for n, k in C.CLASSES.items()) + f" ELSE 'GENERAL' END AS claim_class FROM {_CLAIM}",
+    "TXT18_negation": f"SELECT doc_id, {_any(C.NEGATION)} AS negation FROM {_CLAIM}",
+    "TXT19_certainty": f"SELECT doc_id, CASE WHEN {_any(C.REPORTED)} THEN 'REPORTED' WHEN {_any(C.ATTRIBUTED)} THEN 'ATTRIBUTED' ELSE 'ASSERTED' END AS certainty FROM {_CLAIM}",
     "TXT22_quarter_hour": "SELECT event_id, strftime(ts, '%Y%m%d%H') || (minute(ts) // 15)::VARCHAR AS bucket FROM events",
     "TXT52_lineage": "SELECT page_id, 'dom:' || lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1)) AS lineage FROM pages",
     "TXT60_slug": "SELECT doc_id, substring(regexp_replace(regexp_replace(lower(substring(text, 1, 100)), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 1, 60) AS slug FROM documents",

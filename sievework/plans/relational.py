@@ -62,6 +62,18 @@ SQL: dict[str, str] = {
     "STR04_session_gap": "WITH g AS (SELECT user_id, event_id, ts, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= ts - INTERVAL 180 SECOND THEN 0 ELSE 1 END AS starts FROM events), s AS (SELECT user_id, event_id, ts, sum(starts) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS burst FROM g) SELECT user_id, burst, count(*) AS raw_count, min(ts) AS first_seen, max(ts) AS last_seen FROM s GROUP BY user_id, burst",
     "STR12_change_detection": "WITH c AS (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) SELECT event_id FROM c WHERE before IS NULL OR before <> event_type",
     "STR13_sla_state": "WITH t AS (SELECT max(ts) AS as_of FROM events), u AS (SELECT user_id, max(ts) AS seen FROM events GROUP BY user_id) SELECT user_id, CASE WHEN seen >= as_of - INTERVAL 1 HOUR THEN 'HEALTHY' WHEN seen >= as_of - INTERVAL 24 HOUR THEN 'DEGRADED' ELSE 'STALE' END AS state FROM u CROSS JOIN t",
+    "STR14_health_score": "WITH c AS (SELECT user_id, CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END AS ok, coalesce(sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS oks, coalesce(sum(CASE WHEN event_type <> 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS fails FROM events) SELECT user_id, round(power(0.8e0, sum(ok)) * power(0.9e0, sum(1 - ok)) * 0.5e0 + sum(ok * 0.2e0 * power(0.8e0, oks) * power(0.9e0, fails)), 6) AS health FROM c GROUP BY user_id",
+    "STR15_crisis_mode": "WITH t AS (SELECT event_id, user_id, ts, sum(CASE WHEN value > 50 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 30 MINUTE PRECEDING AND CURRENT ROW) AS triggers FROM events), m AS (SELECT event_id, ts, max(CASE WHEN triggers >= 2 THEN ts END) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS marked FROM t) SELECT event_id, coalesce(marked >= ts - INTERVAL 60 MINUTE, false) AS crisis FROM m",
+    "STR16_reverify_slots": "SELECT DISTINCT user_id, date_trunc('hour', ts) AS hour, CAST(floor(minute(ts) / 5) AS INT) AS slot FROM events",
+    "STR18_debounced_edit": "WITH n AS (SELECT user_id, event_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS after FROM events) SELECT user_id, event_id, ts + INTERVAL 120 SECOND AS run_after FROM n WHERE after IS NULL OR after > ts + INTERVAL 120 SECOND",
+    "STR19_rate_caps": "WITH c AS (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS hour_n, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND CURRENT ROW) AS day_n FROM events) SELECT event_id, CASE WHEN hour_n > 2 OR day_n > 10 THEN 'THROTTLED' ELSE 'SEND' END AS action FROM c",
+    "STR20_backoff": "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber >= 5 THEN 'FAILED' ELSE 'RETRY' END AS status, CAST(30 * power(2, l_linenumber - 1) AS BIGINT) AS job_wait, CAST(least(300 * power(2, l_linenumber), 3600) AS BIGINT) AS translation_wait FROM lineitem",
+    "STR26_heartbeat": "WITH t AS (SELECT max(ts) AS as_of FROM events), u AS (SELECT user_id, max(ts) AS seen FROM events GROUP BY user_id) SELECT user_id FROM u CROSS JOIN t WHERE seen < as_of - INTERVAL 900 SECOND",
+    "OPS12_main_claim": "SELECT o_custkey, coalesce(min(CASE WHEN o_orderstatus = 'P' THEN o_orderkey END), min(o_orderkey)) AS main FROM orders GROUP BY o_custkey",
+    "OPS13_lifecycle": "SELECT o_custkey, CASE WHEN bool_or(o_orderstatus = 'P') THEN 'CONFLICTING' WHEN bool_or(o_orderstatus = 'F') THEN 'CONFIRMED' ELSE 'PROVISIONAL' END AS lifecycle FROM orders GROUP BY o_custkey",
+    "OPS18_field_changes": "WITH b AS (SELECT event_id, event_type, value, lag(event_type) OVER w AS old_type, lag(value) OVER w AS old_value FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT event_id, 'event_type' AS field FROM b WHERE event_type IS DISTINCT FROM old_type UNION ALL SELECT event_id, 'value' AS field FROM b WHERE value IS DISTINCT FROM old_value",
+    "FLT17_auto_publish": "SELECT o_custkey, CASE WHEN bool_or(o_orderstatus = 'P') THEN 'CONFLICTING_CLAIM' WHEN bool_or(o_orderpriority = '1-URGENT' AND o_orderstatus = 'O') THEN 'HIGH_RISK_SINGLE_SOURCE' END AS reason FROM orders GROUP BY o_custkey",
+    "FLT13_due_sources": "WITH t AS (SELECT max(ts) AS as_of FROM events), u AS (SELECT user_id, max(ts) AS fetched FROM events WHERE event_type <> 'error' GROUP BY user_id) SELECT c.c_custkey FROM customer c CROSS JOIN t LEFT JOIN u ON u.user_id = c.c_custkey WHERE u.fetched IS NULL OR u.fetched <= t.as_of - INTERVAL 300 SECOND",
     "OPS01_claim_state": "SELECT user_id, CASE WHEN bool_or(value < 0) THEN 'CONFLICTING' WHEN count(DISTINCT event_type) >= 2 THEN 'CORROBORATED' WHEN max(value) > 90 THEN 'SINGLE_SOURCE' ELSE 'UNVERIFIED' END AS state FROM events GROUP BY user_id",
 }
 

@@ -36,6 +36,7 @@ TRAIN_ROWS = 2500
 WINDOW, STRIDE = 32, 24
 HIDDEN, EMBED = 8, 8
 WORD_BITS, GRAM_BITS = 16, 17
+HASHED_BYTES = 1 << 20
 GRAMS = (4, 5)
 RESULT = "doc_id long, score double, predicted int"
 
@@ -59,8 +60,19 @@ class Words:
 
     def __init__(self, buf: np.ndarray, starts: np.ndarray) -> None:
         buf = lowered(buf)
-        first, last, self.text = word_spans(buf, starts, PARTING)
-        hashes, one, self.number = np.unique(word_hashes(buf, first, last), return_index=True, return_inverse=True)
+        # texts of a few bytes at a time: hashing takes many times the bytes it reads
+        at, hashes, first, last, text = 0, [], [], [], []
+        while at < len(starts) - 1 or not hashes:
+            end = min(len(starts) - 1, max(at + 1, int(np.searchsorted(starts, starts[at] + HASHED_BYTES))))
+            lo, hi = starts[at], starts[end]
+            i, j, of = word_spans(buf[lo:hi], starts[at : end + 1] - lo, PARTING)
+            hashes.append(word_hashes(buf[lo:hi], i, j))
+            first.append(i + lo)
+            last.append(j + lo)
+            text.append(of + at)
+            at = end
+        first, last, self.text = map(np.concatenate, (first, last, text))
+        hashes, one, self.number = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
         self.word = (hashes >> U(64 - WORD_BITS)).astype(np.int64)
         first, last = first[one], last[one]
         # n-grams of each word between two marks

@@ -37,6 +37,8 @@ WINDOW, STRIDE = 32, 24
 HIDDEN, EMBED = 8, 8
 WORD_BITS, GRAM_BITS = 16, 17
 HASHED_BYTES = 1 << 20
+#: Distinct words whose n-grams are taken at a time.
+PART = 1 << 14
 GRAMS = (4, 5)
 RESULT = "doc_id long, score double, predicted int"
 
@@ -72,26 +74,34 @@ class Words:
             text.append(of + at)
             at = end
         first, last, self.text = map(np.concatenate, (first, last, text))
-        hashes, one, self.number = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-        self.word = (hashes >> U(64 - WORD_BITS)).astype(np.int64)
+        hashes, one, number = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+        self.number = number.astype(np.int32)
+        self.word = (hashes >> U(64 - WORD_BITS)).astype(np.int32)
+        del hashes, number
         first, last = first[one], last[one]
-        # n-grams of each word between two marks
-        letters = np.minimum(last - first, 40)
-        size = np.maximum(letters + 2, min(GRAMS))
-        at = np.concatenate([[0], np.cumsum(size)])
-        own = np.zeros(int(at[-1]), np.uint8)
-        place = np.arange(len(own)) - np.repeat(at[:-1], size)
-        inner = (place > 0) & (place <= np.repeat(letters, size))
-        own[inner] = buf[(np.repeat(first, size) + place - 1)[inner]]
-        owner, grams = [], []
-        for n in GRAMS:
-            h = byte_grams(own, n)
-            k = np.flatnonzero(place[: len(h)] + n <= np.repeat(size, size)[: len(h)])
-            owner.append(np.repeat(np.arange(len(size)), size)[k])
-            grams.append((mix(h[k] + U(n)) >> U(64 - GRAM_BITS)).astype(np.int64))
-        self.owner, self.grams = np.concatenate(owner), np.concatenate(grams)
-        order = np.argsort(self.owner, kind="stable")
-        self.owner, self.grams = self.owner[order], self.grams[order]
+        # n-grams of each word between two marks, of so many words at a time
+        grams, sizes = [], []
+        for k in range(0, max(1, len(first)), PART):
+            i, j = first[k : k + PART], last[k : k + PART]
+            letters = np.minimum(j - i, 40)
+            size = np.maximum(letters + 2, min(GRAMS))
+            at = np.concatenate([[0], np.cumsum(size)])
+            own = np.zeros(int(at[-1]), np.uint8)
+            place = np.arange(len(own)) - np.repeat(at[:-1], size)
+            inner = (place > 0) & (place <= np.repeat(letters, size))
+            own[inner] = buf[(np.repeat(i, size) + place - 1)[inner]]
+            owner, found = [], []
+            for n in GRAMS:
+                h = byte_grams(own, n)
+                fit_in = np.flatnonzero(place[: len(h)] + n <= np.repeat(size, size)[: len(h)])
+                owner.append(np.repeat(np.arange(len(size)), size)[fit_in])
+                found.append((mix(h[fit_in] + U(n)) >> U(64 - GRAM_BITS)).astype(np.int32))
+            owner = np.concatenate(owner)
+            grams.append(np.concatenate(found)[np.argsort(owner, kind="stable")])
+            sizes.append(np.bincount(owner, minlength=len(size)))
+        #: the n-grams of word k are grams[cuts[k] : cuts[k + 1]]; each word has one at least
+        self.grams = np.concatenate(grams)
+        self.cuts = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
         self.n_texts = len(starts) - 1
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
@@ -103,9 +113,11 @@ class Words:
         start = (np.cumsum(counts) - counts)[text] + nth * STRIDE
         left = counts[text] - nth * STRIDE
         place = np.arange(WINDOW)[None, :]
-        slot = np.where(place < left[:, None], start[:, None] + place, 0)
-        words = self.number[slot] if len(self.number) else np.zeros(slot.shape, np.int64)
-        return np.where(place < left[:, None], words, -1), text
+        out = np.full((len(text), WINDOW), -1, np.int32)
+        for k in range(0, len(text), PART):
+            inside = place < left[k : k + PART, None]
+            out[k : k + PART][inside] = self.number[(start[k : k + PART, None] + place)[inside]]
+        return out, text
 
 
 def _odds(count: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -118,12 +130,15 @@ def _odds(count: np.ndarray, y: np.ndarray) -> np.ndarray:
 def inputs(model: dict, w: Words) -> np.ndarray:
     """The input vector of each distinct word, and after them zeros for the place behind a text."""
     n = len(w.word)
-    times = np.maximum(np.bincount(w.owner, minlength=n), 1).astype(np.float32)
-    heads = np.flatnonzero(np.diff(w.owner, prepend=-1))
-    mean = np.add.reduceat(model["gram"][w.grams], heads, axis=0) / times[:, None] if n else np.zeros((0, EMBED), np.float32)
-    high = np.maximum.reduceat(model["gram_odds"][w.grams], heads) if n else np.zeros(0, np.float32)
-    x = np.concatenate([model["word"][w.word], mean, model["word_odds"][w.word][:, None], high[:, None]], axis=1)
-    return np.concatenate([x, np.zeros((1, x.shape[1]), np.float32)]).astype(np.float32)
+    x = np.zeros((n + 1, 2 * EMBED + 2), np.float32)
+    x[:n, :EMBED] = model["word"][w.word]
+    x[:n, -2] = model["word_odds"][w.word]
+    for k in range(0, n, PART):
+        m = min(n, k + PART)
+        grams, heads = w.grams[w.cuts[k] : w.cuts[m]], w.cuts[k:m] - w.cuts[k]
+        x[k:m, EMBED : 2 * EMBED] = np.add.reduceat(model["gram"][grams], heads, axis=0) / np.diff(w.cuts[k : m + 1])[:, None]
+        x[k:m, -1] = np.maximum.reduceat(model["gram_odds"][grams], heads)
+    return x
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -203,10 +218,10 @@ def gradients(model: dict, w: Words, x: np.ndarray, idx: np.ndarray, y: np.ndarr
         out["bx"].append(dgiven[way].sum(0))
         dx += dgiven[way] @ model["wx"][way].T
     n = len(w.word)
-    times = np.maximum(np.bincount(w.owner, minlength=n), 1).astype(np.float32)
+    times = np.diff(w.cuts)
     out["word"], out["gram"] = np.zeros_like(model["word"]), np.zeros_like(model["gram"])
     np.add.at(out["word"], w.word, dx[:n, :EMBED])
-    np.add.at(out["gram"], w.grams, (dx[:n, EMBED : 2 * EMBED] / times[:, None])[w.owner])
+    np.add.at(out["gram"], w.grams, np.repeat((dx[:n, EMBED : 2 * EMBED] / times[:, None]).astype(np.float32), times, axis=0))
     return out
 
 
@@ -231,18 +246,14 @@ def fit(texts: list[str], y: np.ndarray, seed: int = 5, steps: int = 400, batch:
     back = np.arange(len(texts)) % 6 == 5
     w = Words(*as_buffer(texts))
     idx, text = w.windows()
-    idx = np.where(idx < 0, len(w.word), idx)
+    idx[idx < 0] = len(w.word)
     use = ~back
-    doc_word = np.unique(w.text * len(w.word) + w.number)
-    of, number = doc_word // len(w.word), doc_word % len(w.word)
+    bounds = np.searchsorted(w.text, np.arange(len(texts) + 1))
     word_count, gram_count = np.zeros((2, 1 << WORD_BITS)), np.zeros((2, 1 << GRAM_BITS))
-    cuts = np.searchsorted(w.owner, np.arange(len(w.word) + 1))
     for k in np.flatnonzero(use):
-        mine = number[np.searchsorted(of, k) : np.searchsorted(of, k, side="right")]
-        np.add.at(word_count[y[k]], np.unique(w.word[mine]), 1)
-        size = cuts[mine + 1] - cuts[mine]
-        grams = w.grams[np.repeat(cuts[mine] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
-        np.add.at(gram_count[y[k]], np.unique(grams), 1)
+        mine = _some(w, np.unique(w.number[bounds[k] : bounds[k + 1]]))
+        word_count[y[k]][np.unique(mine.word)] += 1
+        gram_count[y[k]][np.unique(mine.grams)] += 1
     normal = lambda *s: (rng.standard_normal(s) * 0.1).astype(np.float32)
     width = 2 * EMBED + 2
     model = {
@@ -253,7 +264,7 @@ def fit(texts: list[str], y: np.ndarray, seed: int = 5, steps: int = 400, batch:
     }
     x = inputs(model, w)
     telling = x[:, -1] + x[:, -2]
-    first = telling[idx].max(1)
+    first = np.concatenate([telling[idx[k : k + 4096]].max(1) for k in range(0, len(idx), 4096)])
     moments: dict = {}
     step = 0
 
@@ -307,11 +318,10 @@ def fit(texts: list[str], y: np.ndarray, seed: int = 5, steps: int = 400, batch:
 def _some(w: Words, numbers: np.ndarray) -> Words:
     """The given distinct words alone."""
     out = object.__new__(Words)
-    cuts = np.searchsorted(w.owner, np.arange(len(w.word) + 1))
-    size = cuts[numbers + 1] - cuts[numbers]
+    size = w.cuts[numbers + 1] - w.cuts[numbers]
     out.word = w.word[numbers]
-    out.grams = w.grams[np.repeat(cuts[numbers] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
-    out.owner = np.repeat(np.arange(len(numbers)), size)
+    out.cuts = np.concatenate([[0], np.cumsum(size)])
+    out.grams = w.grams[np.repeat(w.cuts[numbers] - out.cuts[:-1], size) + np.arange(out.cuts[-1])]
     return out
 
 

@@ -44,13 +44,16 @@ _MESSAGE = pa.schema([("block", pa.int64()), ("shard", pa.int64()), ("part", pa.
 _MESSAGES = "block long, shard long, part long, a binary, b binary, c binary, d binary"
 
 
-def suffix_array(buf: np.ndarray, ends: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes of each text in order of their first ``limit`` bytes at least, and their ranks.
+def suffix_array(buf: np.ndarray, ends: np.ndarray, limit: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes of each text in order of their first ``limit`` bytes at least (None: of all), and their ranks.
 
     ends: for each place where its text ends; a suffix stops there.  Larsson-Sadakane: a rank is the
-    place of a group's first suffix; groups of one are settled and no longer sorted.
+    place of a group's first suffix; groups of one are settled and no longer sorted.  Equal suffixes are
+    in order of their places.
     """
     n = len(buf)
+    if limit is None:
+        limit = int((ends - np.arange(n)).max(initial=0))
     place = np.arange(n)
     wide = np.zeros(n + 8, np.int64)
     wide[:n] = buf.astype(np.int64) + 1
@@ -87,8 +90,9 @@ def suffix_array(buf: np.ndarray, ends: np.ndarray, limit: int) -> tuple[np.ndar
 def common_prefixes(buf: np.ndarray, ends: np.ndarray, order: np.ndarray, rank: np.ndarray, limit: int, lane: int = 256) -> np.ndarray:
     """Kasai: for each slot of the order the length it shares with the slot before, ``limit`` at most.
 
-    From one place of the text to the next the length falls by one at most.  Lanes of consecutive
-    places advance together; in a lane each place starts from the length of the one before.
+    From one place of the text to the next the length falls by one at most, which holds for a full order
+    only.  Lanes of consecutive places advance together; in a lane each place starts from the length of
+    the one before.
     """
     n = len(buf)
     out = np.zeros(n, np.int64)
@@ -117,6 +121,12 @@ def common_prefixes(buf: np.ndarray, ends: np.ndarray, order: np.ndarray, rank:
     return out
 
 
+def repeated_windows(buf: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix array of some texts, and for each slot whether it shares ``size`` bytes with the slot before."""
+    order, rank = suffix_array(buf, ends)
+    return order, common_prefixes(buf, ends, order, rank, size) >= size
+
+
 def _runs(buf: np.ndarray, starts: np.ndarray, size: int):
     """Runs of a block: their first and last window, anchor hash and context hash."""
     none = (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
@@ -257,8 +267,8 @@ def repeated_byte_strings(docs: DataFrame, size: int = 200, id_col: str = "doc_i
         starts = np.concatenate([[0], np.cumsum(lens)])
         text = np.repeat(np.arange(len(lens)), lens)
         ends = starts[1:][text]
-        order, rank = suffix_array(buf, ends, size)
-        same = np.append(common_prefixes(buf, ends, order, rank, size) >= size, False)
+        order, same = repeated_windows(buf, ends, size)
+        same = np.append(same, False)
         twice = np.zeros(len(buf), bool)
         twice[order[same[:-1] | same[1:]]] = True
         place = np.arange(len(buf))

@@ -114,6 +114,25 @@ def test_suffix_array_and_prefixes():
         assert lcp[k] == next((j for j in range(min(len(a), len(b))) if a[j] != b[j]), min(len(a), len(b)))
 
 
+def test_repeated_windows_of_texts_that_part_late():
+    wrong = found = 0
+    for seed in range(40):
+        rng = np.random.default_rng(seed)
+        say = lambda n: rng.integers(97, 101, n, np.uint8).tobytes()  # noqa: E731, B023
+        data = [say(rng.integers(0, 30)) + shared + say(rng.integers(1, 60)) for _ in range(10) for shared in [say(rng.integers(224, 301))] for _ in range(2)]
+        lens = np.array([len(t) for t in data])
+        ends = np.repeat(np.cumsum(lens), lens)
+        buf = np.frombuffer(b"".join(data), np.uint8)
+        order, same = suffix_dedup.repeated_windows(buf, ends, 200)
+        got = set(order[same].tolist()) | set(order[np.flatnonzero(same) - 1].tolist())
+        windows = {k: buf[k : k + 200].tobytes() for k in range(len(buf)) if k + 200 <= ends[k]}
+        count = Counter(windows.values())
+        want = {k for k, w in windows.items() if count[w] > 1}
+        wrong += len(got ^ want)
+        found += len(want)
+    assert wrong == 0 and found > 0
+
+
 def test_ngram_join(docs, empty):
     sets: dict = {}
     root = {i: i for i, _ in texts()}

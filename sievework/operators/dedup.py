@@ -24,3 +24,14 @@ def near_pairs(hashed: DataFrame, most: int = 6) -> DataFrame:
     on = (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.doc_id") < F.col("b.doc_id"))
     distance = F.bit_count(F.col("a.simhash").bitwiseXOR(F.col("b.simhash")))
     return a.join(b, on).where(distance <= most).select(F.col("a.doc_id").alias("doc_a"), F.col("b.doc_id").alias("doc_b"), distance.cast("int").alias("distance")).distinct()
+
+
+def near_documents(hashed: DataFrame, most: int = 6) -> DataFrame:
+    """near_pairs, and each document of an equal hash with the smallest id of its class, at distance 0.
+
+    All pairs of documents within the distance follow from these rows: any two of one class, and any
+    member of one class with any of another that a pair links.
+    """
+    least = hashed.groupBy("simhash").agg(F.min("doc_id").alias("doc_a"))
+    members = hashed.join(least, "simhash").where("doc_id > doc_a").select("doc_a", F.col("doc_id").alias("doc_b"), F.lit(0).alias("distance")).distinct()
+    return near_pairs(hashed, most).unionByName(members)

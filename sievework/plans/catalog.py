@@ -52,6 +52,7 @@ QUERIES: dict = {
     "TXT22_quarter_hour": lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", T.bucket_15m(F.col("ts")).alias("bucket")),
     "TXT52_lineage": lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", T.lineage_key(F.col("url")).alias("lineage")),
     "TXT60_slug": _text(lambda t: T.slug(F.substring(t, 1, 100)).alias("slug")),
+    "JOIN04_simhash_near_documents": lambda spark, sf_dir: dedup.near_documents(dedup.with_simhash(_docs(spark, sf_dir))),
     FLAGSHIP: lambda spark, sf_dir: dedup.near_pairs(dedup.with_simhash(_docs(spark, sf_dir))),
 } | relational.QUERIES
 ORACLES: dict[str, str] = {

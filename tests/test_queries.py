@@ -56,3 +56,17 @@ def test_near_pairs_equal_all_pairs(spark):
     items = sorted((d, h) for h, d in least.items())
     want = {(a, b) for k, (a, x) in enumerate(items) for b, y in items[k + 1 :] if bin((x ^ y) & (1 << 64) - 1).count("1") <= 6}
     assert {(r["doc_a"], r["doc_b"]) for r in pairs.collect()} == want
+
+
+def test_near_documents_give_all_pairs(spark):
+    hashed = {r["doc_id"]: r["simhash"] for r in catalog.QUERIES["TXT07_simhash"](spark, SF).collect()}
+    items = sorted(hashed.items())
+    want = {(a, b) for k, (a, x) in enumerate(items) for b, y in items[k + 1 :] if bin((x ^ y) & (1 << 64) - 1).count("1") <= 6}
+    rows = catalog.QUERIES["JOIN04_simhash_near_documents"](spark, SF).collect()
+    first = {d: d for d in hashed} | {r["doc_b"]: r["doc_a"] for r in rows if r["distance"] == 0}
+    members = {}
+    for d, c in first.items():
+        members.setdefault(c, []).append(d)
+    linked = [(r["doc_a"], r["doc_b"]) for r in rows if r["distance"]] + [(c, c) for c in members]
+    got = {(min(x, y), max(x, y)) for a, b in linked for x in members[a] for y in members[b] if x != y}
+    assert got == want and any(hashed[a] == hashed[b] for a, b in want)

@@ -40,7 +40,7 @@ _SHINGLES = f"SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [
 QUERIES: dict = {
     "TXT02_normalized": _text(lambda t: T.normalized_for_hash(t).alias("norm")),
     "TXT03_content_hash": _text(lambda t: T.content_hash(t).alias("content_hash")),
-    "TXT05_title_hash": _text(lambda t: F.sha2(T.normalized_title(F.substring(t, 1, 80)), 256).alias("title_hash")),
+    "TXT05_title_hash": _text(lambda t: F.sha2(T.normalized_title(t), 256).alias("title_hash")),
     "TXT06_shingle_counts": _text(lambda t: F.size(T.shingles(T.normalized_for_hash(t))).alias("n_shingles")),
     "TXT07_simhash": lambda spark, sf_dir: dedup.with_simhash(_docs(spark, sf_dir)),
     "TXT12_token_count": _text(lambda t: F.size(T.token_set(t)).alias("n_tokens")),
@@ -51,7 +51,7 @@ QUERIES: dict = {
     "STR09_claim_compare": _compared,
     "TXT22_quarter_hour": lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", T.bucket_15m(F.col("ts")).alias("bucket")),
     "TXT52_lineage": lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", T.lineage_key(F.col("url")).alias("lineage")),
-    "TXT60_slug": _text(lambda t: T.slug(F.substring(t, 1, 100)).alias("slug")),
+    "TXT60_slug": _text(lambda t: T.slug(t).alias("slug")),
     "JOIN04_simhash_near_documents": lambda spark, sf_dir: dedup.near_documents(dedup.with_simhash(_docs(spark, sf_dir))),
     FLAGSHIP: lambda spark, sf_dir: dedup.near_pairs(dedup.with_simhash(_docs(spark, sf_dir))),
 } | relational.QUERIES

@@ -70,3 +70,12 @@ def test_near_documents_give_all_pairs(spark):
     linked = [(r["doc_a"], r["doc_b"]) for r in rows if r["distance"]] + [(c, c) for c in members]
     got = {(min(x, y), max(x, y)) for a, b in linked for x in members[a] for y in members[b] if x != y}
     assert got == want and any(hashed[a] == hashed[b] for a, b in want)
+
+
+def test_title_hash_and_slug_read_the_whole_text(spark, tmp_path):
+    a, b = "same words " * 10 + "one", "same words " * 10 + "two"
+    spark.createDataFrame([(1, a), (2, b), (3, "é" * 120 + " tail of it")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["title_hash"] for r in catalog.QUERIES["TXT05_title_hash"](spark, str(tmp_path)).collect()}
+    assert got[1] == hashlib.sha256(a.encode()).hexdigest() and got[2] == hashlib.sha256(b.encode()).hexdigest()
+    slugs = {r["doc_id"]: r["slug"] for r in catalog.QUERIES["TXT60_slug"](spark, str(tmp_path)).collect()}
+    assert slugs[3] == "tail-of-it" and slugs[1] == a.replace(" ", "-")[:60]

@@ -9,6 +9,10 @@ here in numpy, by backpropagation through time with Adam: of each training text
 counts or the net so far find most telling, and others of clean texts.  Texts kept back set the offset at
 which 0.5 parts the classes best.
 
+A word over ``STRETCH`` bytes, such as a sentence of a script without spaces, is cut into stretches of so
+many, each beginning ``OVERLAP`` bytes before the end of the one before, and each counts as a word; so
+every n-gram of it is an input.
+
 The input products of the recurrent units are computed once for each distinct word of a chunk.
 
 Bound: ``TRAIN_ROWS`` labelled rows of each class at most.
@@ -40,6 +44,8 @@ HASHED_BYTES = 1 << 20
 #: Distinct words whose n-grams are taken at a time.
 PART = 1 << 14
 GRAMS = (4, 5)
+#: Bytes of a word's stretch, and those it shares with the next: no n-gram is lost between them.
+STRETCH, OVERLAP = 40, 8
 RESULT = "doc_id long, score double, predicted int"
 
 PARTING = SPACE.copy()
@@ -57,6 +63,14 @@ def lowered(buf: np.ndarray) -> np.ndarray:
     return out
 
 
+def stretches(first: np.ndarray, last: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words, those over STRETCH bytes cut into overlapping stretches."""
+    step = STRETCH - OVERLAP
+    each = np.maximum(1, -(-(last - first - OVERLAP) // step))
+    start = np.repeat(first, each) + (np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)) * step
+    return start, np.minimum(start + STRETCH, np.repeat(last, each)), np.repeat(of, each)
+
+
 class Words:
     """The words of a chunk: which distinct word each is, its text, and the distinct words' hashes and n-grams."""
 
@@ -67,7 +81,7 @@ class Words:
         while at < len(starts) - 1 or not hashes:
             end = min(len(starts) - 1, max(at + 1, int(np.searchsorted(starts, starts[at] + HASHED_BYTES))))
             lo, hi = starts[at], starts[end]
-            i, j, of = word_spans(buf[lo:hi], starts[at : end + 1] - lo, PARTING)
+            i, j, of = stretches(*word_spans(buf[lo:hi], starts[at : end + 1] - lo, PARTING))
             hashes.append(word_hashes(buf[lo:hi], i, j))
             first.append(i + lo)
             last.append(j + lo)
@@ -83,7 +97,7 @@ class Words:
         grams, sizes = [], []
         for k in range(0, max(1, len(first)), PART):
             i, j = first[k : k + PART], last[k : k + PART]
-            letters = np.minimum(j - i, 40)
+            letters = j - i
             size = np.maximum(letters + 2, min(GRAMS))
             at = np.concatenate([[0], np.cumsum(size)])
             own = np.zeros(int(at[-1]), np.uint8)

@@ -215,6 +215,19 @@ def test_neighbours(spark):
     assert hits / total >= 0.9 and {r.query_id for r in got} == set(range(0, 600, 20))
 
 
+def test_toxicity_reads_long_words_whole(spark):
+    rng = random.Random(2)
+    calm, nasty = "天地人山水火木金土日月星", "毒恶骂打杀坏"
+    say = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    rows = [(k, say(calm, 60) + (say(nasty, 20) if k % 4 == 0 else say(calm, 20)) + say(calm, 20)) for k in range(300)]
+    labelled = spark.createDataFrame([(k, int(k % 4 == 0)) for k, _ in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.scored(spark.createDataFrame(rows, "doc_id long, text string"), labelled).collect()}
+    held = [k for k, _ in rows if got[k].held_out]
+    assert sum(got[k].predicted == int(k % 4 == 0) for k in held) >= 0.9 * len(held)
+    first, last, of = toxicity.stretches(np.array([0, 50]), np.array([40, 150]), np.array([0, 1]))
+    assert first.tolist() == [0, 50, 82, 114] and last.tolist() == [40, 90, 122, 150] and of.tolist() == [0, 1, 1, 1]
+
+
 def test_classifiers(spark, docs, empty):
     rows = [(k, ("plain calm words number%d here " % k) * 6 + ("nasty###" if k % 4 == 0 else "")) for k in range(240)]
     labelled = spark.createDataFrame([(k, int(k % 4 != 0), int(k % 4 == 0)) for k, _ in rows], "doc_id long, quality int, toxic int")

@@ -8,7 +8,9 @@ graph is stored as flat arrays of neighbours.  A search goes greedily down the l
 on the lowest; queries advance together, so a step is a few numpy calls.  Results of shards are merged
 by the exact product in double precision.
 
-Inner products are made distances by one more component, ``sqrt(M^2 - |v|^2)`` with M the largest norm.
+Inner products are made distances by one more component, ``sqrt(M^2 - |v|^2)`` with M the shard's largest
+norm.  A shard holds norms of one range, a factor of 16, so that no vector's size swamps the others' in
+single precision; its vectors are divided by M, and queries by their own norm, which leaves ranks as they are.
 Equal vectors are indexed once, with their smallest ids, as many as a result can need.
 
 Size: queries are a fixed share of the rows and each goes to every shard, as the contract of a search
@@ -148,6 +150,21 @@ def search(x: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]], queries:
     return search_layer(x[layers[0][0]], layers[0][1], queries, entry, beam)[0]
 
 
+def _scaled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows divided by their norms, and the norms; squares neither overflow nor vanish."""
+    peak = np.abs(x).max(axis=1, keepdims=True)
+    unit = x / peak
+    norm = np.sqrt((unit**2).sum(axis=1, keepdims=True))
+    return unit / norm, (peak * norm)[:, 0]
+
+
+def _widened(x: np.ndarray) -> np.ndarray:
+    """A shard's vectors divided by the largest norm, with the component that gives all the same length."""
+    unit, norm = _scaled(x)
+    share = (norm / norm.max())[:, None]
+    return np.concatenate([unit * share, np.sqrt(np.maximum(1 - share**2, 0))], axis=1).astype(np.float32)
+
+
 def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     good = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))) & F.exists("v", lambda c: c != 0)
@@ -166,10 +183,17 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
     # equal vectors once, with the ids that come first; the limit of the window holds before its shuffle too
     first = v.withColumn("nth", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("nth") <= k + 1)
     distinct = first.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    distinct = written(distinct.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c))), "vectors")
-    count, most = distinct.agg(F.count("*"), F.max("norm")).first()
-    shards = max(1, -(-count // shard_rows))
-    most = most or 0.0
+    # log of the norm by the largest component, as squares could overflow; ranges of a factor of 16, with 1 inside one
+    peak = F.array_max(F.transform("v", F.abs))
+    log = F.log2("peak") + F.log2(F.aggregate("v", F.lit(0.0), lambda a, c: a + (c / F.col("peak")) * (c / F.col("peak")))) / 2
+    distinct = written(distinct.withColumn("peak", peak).withColumn("range", F.round(log / 4).cast("int")).drop("peak"), "vectors")
+    sizes = {r["range"]: r["count"] for r in distinct.groupBy("range").count().collect()}
+    count, shards, dealt = sum(sizes.values()), 0, F.lit(0)
+    for span in sorted(sizes):
+        many = -(-sizes[span] // shard_rows)
+        dealt = F.when(F.col("range") == span, F.pmod(F.xxhash64("v"), F.lit(many)).cast("int") + shards).otherwise(dealt)
+        shards += many
+    shards = max(1, shards)
     schema = pa.schema([("shard", pa.int32()), ("n", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("v", pa.binary()), ("layers", pa.list_(pa.binary()))])
 
     def index(t: pa.Table) -> pa.Table:
@@ -177,14 +201,12 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
         x = x[order := np.random.default_rng(1).permutation(len(x))]
         ids = [i for k, i in enumerate(t["ids"].to_pylist())]
         ids = [ids[k] for k in order.tolist()]
-        norm2 = (x**2).sum(1)
-        own = np.concatenate([x, np.sqrt(np.maximum(most**2 - norm2, 0))[:, None]], axis=1).astype(np.float32)
+        own = _widened(x)
         layers = [part.astype("<i4").tobytes() for layer in build(own, 1) for part in layer]
         flat = np.array([i for s in ids for i in s], "<i8")
         return pa.Table.from_pylist([{"shard": t["shard"][0].as_py(), "n": len(x), "ids": flat.tobytes(), "counts": np.array([len(s) for s in ids], "<i4").tobytes(), "v": x.astype("<f8").tobytes(), "layers": layers}], schema)
 
-    shard = F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int")
-    graphs = written(distinct.withColumn("shard", shard).select("shard", "v", "ids").groupBy("shard").applyInArrow(index, "shard int, n int, ids binary, counts binary, v binary, layers array<binary>"), "graphs")
+    graphs = written(distinct.withColumn("shard", dealt).select("shard", "v", "ids").groupBy("shard").applyInArrow(index, "shard int, n int, ids binary, counts binary, v binary, layers array<binary>"), "graphs")
     queries = v.where(F.col("vec_id") % every == 0)
     groups = max(1, -(-count * 2 // (every * QUERY_GROUP)))
     queries = queries.withColumn("group", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
@@ -199,8 +221,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
         counts = np.frombuffer(g["counts"], np.int32).astype(np.int64)
         ids = np.frombuffer(g["ids"], np.int64)
         at = np.cumsum(counts) - counts
-        norm2 = (x**2).sum(1)
-        own = np.concatenate([x, np.sqrt(np.maximum(most**2 - norm2, 0))[:, None]], axis=1).astype(np.float32)
+        own = _widened(x)
         flat = [np.frombuffer(p, np.int32) for p in g["layers"]]
         layers = [(rows, links.reshape(len(rows), -1)) for rows, links in zip(flat[::2], flat[1::2], strict=True)]
         qid = right["vec_id"].to_numpy()
@@ -208,7 +229,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
         out = []
         for lo in range(0, len(q), 256):
             part, names = q[lo : lo + 256], qid[lo : lo + 256]
-            got = search(own, layers, np.concatenate([part, np.zeros((len(part), 1))], axis=1).astype(np.float32), beam)
+            got = search(own, layers, np.concatenate([_scaled(part)[0], np.zeros((len(part), 1))], axis=1).astype(np.float32), beam)
             r, c = np.nonzero(got >= 0)
             row = got[r, c]
             score = np.einsum("ij,ij->i", x[row], part[r])

@@ -215,6 +215,20 @@ def test_neighbours(spark):
     assert hits / total >= 0.9 and {r.query_id for r in got} == set(range(0, 600, 20))
 
 
+def test_neighbours_with_one_outlier(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((600, 8))
+    x[7] *= 1e6
+    x[20] *= 1e5
+    got = ann.nearest(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    hits = 0
+    for q in range(0, 600, 20):
+        s = x @ x[q]
+        best = [k for k in np.argsort(-s) if k != q][:20]
+        hits += len({r.vec_id for r in got if r.query_id == q} & set(best))
+    assert hits / 600 >= 0.9
+
+
 def test_toxicity_reads_long_words_whole(spark):
     rng = random.Random(2)
     calm, nasty = "天地人山水火木金土日月星", "毒恶骂打杀坏"

@@ -184,11 +184,22 @@ def _copies():
     return F.col("whole") + (F.col("place") < F.col("cut")).cast("int")
 
 
+def _block():
+    return F.shiftrightunsigned("place", PLACE_BITS - BLOCK_BITS).cast("int")
+
+
 def taken(docs: DataFrame, **how) -> DataFrame:
-    """Each document's doc_id, size, source_size, target, taken (words, repeats counted) and copies."""
+    """Each document's doc_id, size, source_size, target, taken (words, repeats counted) and copies.
+
+    Copies are those that the draw deals to a shard, counted without moving texts.
+    """
     plan = mix_plan(docs, **how)
-    rows = plan.sized.join(F.broadcast(plan.sources), F.col("source").eqNullSafe(F.col("of")), "inner")
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * _copies()).alias("taken"), _copies().alias("copies"))
+    rows = plan.sized.join(F.broadcast(plan.sources), F.col("source").eqNullSafe(F.col("of")), "inner").drop("of")
+    rows = rows.withColumn("at", _block()).withColumn("wanted", _copies())
+    drawn = plan.places.groupBy("of", "block").agg(F.collect_list("copy").alias("drawn"))
+    rows = rows.join(F.broadcast(drawn), F.col("source").eqNullSafe(F.col("of")) & (F.col("at") == F.col("block")), "left")
+    rows = rows.withColumn("copies", F.when(F.col("drawn").isNull(), 0).otherwise(F.size(F.filter("drawn", lambda c: c < F.col("wanted")))))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
 def mixed(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", source_col: str = "source", **how) -> DataFrame:
@@ -198,8 +209,7 @@ def mixed(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", source_col: st
     rows = docs.select(F.struct("*").alias("row"), F.col(source_col).alias("source"), _place(seed, id_col).alias("place"))
     rows = rows.join(F.broadcast(plan.sources), F.col("source").eqNullSafe(F.col("of")), "inner").drop("of")
     rows = rows.withColumn("copies", _copies()).where("copies > 0").withColumn("copy", F.explode(F.expr("sequence(0, copies - 1)")))
-    block = F.shiftrightunsigned("place", PLACE_BITS - BLOCK_BITS).cast("int")
-    rows = rows.withColumn("at", block).join(F.broadcast(plan.places.withColumnRenamed("copy", "nth")), F.col("source").eqNullSafe(F.col("of")) & (F.col("at") == F.col("block")) & (F.col("copy") == F.col("nth")), "inner")
+    rows = rows.withColumn("at", _block()).join(F.broadcast(plan.places.withColumnRenamed("copy", "nth")), F.col("source").eqNullSafe(F.col("of")) & (F.col("at") == F.col("block")) & (F.col("copy") == F.col("nth")), "inner")
     rows = rows.withColumn("order", F.xxhash64(F.lit(seed + 1), "place", "copy"))
     return rows.repartitionById(plan.shards, F.col("shard")).sortWithinPartitions("shard", "order").select("row.*")
 

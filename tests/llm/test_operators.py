@@ -191,6 +191,13 @@ def test_mixing(docs, empty):
     assert mixing.taken(empty).count() == 0 and mixing.mixed(empty).count() == 0
 
 
+def test_taken_counts_what_is_drawn(docs, monkeypatch):
+    plan = mixing.mix_plan(docs)
+    assert sum(r.copies for r in mixing.taken(docs).collect()) > 0
+    monkeypatch.setattr(mixing, "mix_plan", lambda *a, **k: plan._replace(places=plan.places.where("false")))
+    assert sum(r.copies for r in mixing.taken(docs).collect()) == 0
+
+
 def test_html(spark):
     p = "<html><nav><a>menu</a></nav><article><h1>A &amp; B</h1><p>one\n two<script>var x='</p>'</script></p></article><footer>end</footer></html>"
     assert [b.text for b in html_text.blocks_of(p)] == ["menu", "A & B", "one two", "end"]

@@ -9,7 +9,9 @@ pages: article, main and content elements against menus, headers, footers, aside
 notices and comments.  Pages are also rewritten for training, with blocks of such kinds put in and
 elements renamed, so that the network knows more layouts than the sample has.
 
-Script, style, template and head elements and comments of the markup are never text.  Character
+Script, style, template and head elements and comments of the markup are never text, nor is what only
+stands in for another (noscript, iframe, textarea).  A head ends at its end tag, or at the first tag or
+text that can't be in one.  Text of math, svg, object, select and media elements is in blocks like others.  Character
 references are decoded, white space inside a block becomes one space, blocks are trimmed and joined by
 newlines in page order.
 
@@ -41,10 +43,12 @@ RESULT = "page_id long, url string, text string, n_chars long"
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-SILENT = frozenset("script style noscript template head title svg iframe object select textarea math canvas audio video".split())
+SILENT = frozenset("script style noscript template head title textarea iframe".split())
+#: All that a head can hold; anything else ends it.
+IN_HEAD = frozenset("base link meta title style script noscript template head".split())
 RAW = frozenset("script style noscript template title textarea iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
+INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img mi mn mo ms mtext mspace mrow mfrac msqrt mroot msup msub msubsup mover munder munderover mstyle mpadded menclose semantics".split())
 BLACK = frozenset("nav header footer aside form menu button dialog".split())
 BLACK_NAMES = frozenset("ad ads advert advertisement adverts banner cookie cookies consent notice alert sidebar comment comments disqus menu nav navbar navigation footer header masthead breadcrumb breadcrumbs promo promotion sponsored related share sharing social newsletter subscribe popup modal widget login search pagination".split())
 WHITE = frozenset(["article", "main"])
@@ -97,12 +101,19 @@ def blocks_of(page: str) -> list[Block]:
             if not held[n]:
                 del held[n]
 
+    def end_head() -> None:
+        while stack[-1][0] != "head":
+            pop()
+        pop()
+
     at, n = 0, len(page)
     while at < n:
         m = TAG.search(page, at)
         end = m.start() if m else n
-        if end > at and not silent:
-            piece = page[at:end]
+        piece = page[at:end]
+        if open_.get("head") and piece.strip():
+            end_head()
+        if piece and not silent:
             parts.append(piece)
             total += len(piece)
             links += len(piece) if open_.get("a") else 0
@@ -121,6 +132,8 @@ def blocks_of(page: str) -> list[Block]:
                     pop()
                 pop()
             continue
+        if open_.get("head") and tag not in IN_HEAD:
+            end_head()
         if tag in VOID or rest.endswith("/"):
             continue
         if tag in ("p", "li", "tr", "td", "th", "option") and stack and stack[-1][0] in ({tag, "p"} | INLINE):

@@ -198,6 +198,15 @@ def test_taken_counts_what_is_drawn(docs, monkeypatch):
     assert sum(r.copies for r in mixing.taken(docs).collect()) == 0
 
 
+def test_html_open_heads_and_embedded_text():
+    said = lambda p: [b.text for b in html_text.blocks_of(p)]
+    assert said("<html><head><title>t</title><meta a=b><body><p>one</p></body></html>") == ["one"]
+    assert said("<html><head><script>x</script><p>one<p>two</html>") == ["one", "two"]
+    assert said("<head><title>t</title>\nbare text") == ["bare text"]
+    assert said("<article><svg><text>in</text><p>after</p><select><option>o<p>last</article>") == ["in", "after", "o", "last"]
+    assert said("<article>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> is<object>old</object></article>") == ["so", "x=1", "is", "old"]
+
+
 def test_html(spark):
     p = "<html><nav><a>menu</a></nav><article><h1>A &amp; B</h1><p>one\n two<script>var x='</p>'</script></p></article><footer>end</footer></html>"
     assert [b.text for b in html_text.blocks_of(p)] == ["menu", "A & B", "one two", "end"]

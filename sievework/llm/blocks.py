@@ -8,6 +8,7 @@ packed rows where it would else move one row for each key.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 from .store import kept
 
 BLOCK_BYTES = 4 << 20
+#: Text that is hashed at a time; a task holds some twenty arrays of eight bytes for each of its bytes.
+CHUNK_BYTES = 1 << 20
 BLOCK = "block long, n long, ids binary, lens binary, data binary, carried binary"
 
 
@@ -33,7 +36,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch], size: int = BLOCK_BYTES) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+def text_chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK_BYTES) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     """Keys (the first column), bytes and starts of about so many bytes of texts (the second) at a time."""
     for batch in batches:
         buf, starts = text_buffer(batch.column(1))
@@ -42,6 +45,16 @@ def text_chunks(batches: Iterator[pa.RecordBatch], size: int = BLOCK_BYTES) -> I
             to = max(k + 1, int(np.searchsorted(starts, starts[k] + size, side="right")) - 1)
             yield batch.column(0).slice(k, to - k), buf[starts[k] : starts[to]], starts[k : to + 1] - starts[k]
             k = to
+    give_back()
+
+
+def give_back() -> None:
+    """Return memory that the allocators of a reused worker keep from a task that is done."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def pack(block: int, ids: np.ndarray, starts: np.ndarray, buf: np.ndarray) -> dict:
@@ -110,8 +123,11 @@ def pack_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     ids, lens, parts, others, size = [], [], [], [], 0
         if ids:
             yield out()
+        give_back()
 
-    packed = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), *[F.col(c) for c in carry]).where("_id IS NOT NULL").mapInArrow(make, BLOCK)
+    # rows without an id go before columns are put side by side: a carried one may have any name
+    rows = docs.where(F.col(id_col).cast("long").isNotNull())
+    packed = rows.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), *[F.col(c) for c in carry]).mapInArrow(make, BLOCK)
     n = max(8, docs.sparkSession.sparkContext.defaultParallelism, docs.rdd.getNumPartitions())
     packed = kept(packed.repartition(n, "block"))
     blocks, size = packed.agg(F.count("*"), F.coalesce(F.sum(F.expr("aggregate(array(length(data)), 0L, (a, x) -> a + x)")), F.lit(0))).first()
@@ -127,6 +143,7 @@ def send(blocks: DataFrame, f: Callable[[dict], list[dict]], schema: str, arrow:
                 rows = f(batch.slice(k, 1).to_pylist()[0])
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, arrow)
+        give_back()
 
     return blocks.mapInArrow(go, schema)
 

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blocks as B
@@ -100,35 +100,43 @@ def linked_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: st
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = sketch.value
+
+        def sent(seen: dict[int, int], sizes: list, grams: list, of: list, place: list) -> pa.RecordBatch:
+            g, o, at = np.concatenate(grams), np.concatenate(of), np.concatenate(place)
+            shard = ((g >> U(20)) % U(shards)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+            nodes, sizes_ = np.array(list(seen), np.int64), np.array(sizes, np.int32)
+            rows = []
+            for s, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                if j > i:
+                    k = order[i:j]
+                    mine, local = np.unique(o[k], return_inverse=True)
+                    rows.append({"shard": s, "grams": g[k].tobytes(), "of": local.astype("<i4").tobytes(), "place": at[k].tobytes(), "nodes": nodes[mine].tobytes(), "sizes": sizes_[mine].tobytes()})
+            return pa.RecordBatch.from_pylist(rows, message)
+
+        # several chunks go in one message, so that copies among them are sent once
+        held: tuple = ({}, [], [], [], [])
+        size = 0
         for _, buf, starts in B.text_chunks(batches):
-            seen: dict[int, int] = {}
-            sizes, grams, of, place = [], [], [], []
+            seen, sizes, grams, of, place = held
             for own in sets_of(buf, starts, n):
                 node = node_of(own) if len(own) else None
                 if node is None or node in seen:
                     continue
                 seen[node] = len(seen)
-                size = len(own)
-                sizes.append(size)
-                p = size - -(-percent * size // 100) + 1
+                sizes.append(len(own))
+                p = len(own) - -(-percent * len(own) // 100) + 1
                 top = own[np.lexsort((own, often[(own >> U(64 - SKETCH_BITS)).astype(np.int64)]))[:p]]
                 grams.append(top)
                 of.append(np.full(len(top), seen[node], np.int32))
                 place.append(np.arange(len(top), dtype=np.int32))
-            if not seen:
-                continue
-            g, o, at = np.concatenate(grams), np.concatenate(of), np.concatenate(place)
-            shard = ((g >> U(20)) % U(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-            nodes, sizes = np.array(list(seen), np.int64), np.array(sizes, np.int32)
-            rows = []
-            for s, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                if j > i:
-                    k = order[i:j]
-                    mine, local = np.unique(o[k], return_inverse=True)
-                    rows.append({"shard": s, "grams": g[k].tobytes(), "of": local.astype("<i4").tobytes(), "place": at[k].tobytes(), "nodes": nodes[mine].tobytes(), "sizes": sizes[mine].tobytes()})
-            yield pa.RecordBatch.from_pylist(rows, message)
+            size += len(buf)
+            if size >= B.BLOCK_BYTES and seen:
+                yield sent(*held)
+                held, size = ({}, [], [], [], []), 0
+        if held[0]:
+            yield sent(*held)
 
     posting = pa.schema([("shard", pa.int32()), ("gram", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("place", pa.int32())])
 
@@ -268,11 +276,28 @@ def linked_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: st
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows, with all their columns, whose id is the smallest of its component; rows with a null id stay."""
-    found = linked_components(docs, id_col=id_col, text_col=text_col, **how)
-    gone = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_NODES else gone
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    """The rows, with all their columns, whose id is the smallest of its component; rows with a null id stay.
+
+    Of several rows with that id the one with the smallest hash of its text stays.
+    """
+    found = written(linked_components(docs, id_col=id_col, text_col=text_col, **how), "found")
+    own = F.col(id_col).cast("long")
+
+    def ids(rows: DataFrame, name: str) -> DataFrame:
+        rows = written(rows.select(F.col("doc_id").alias("_id_of_" + name)), name)
+        return F.broadcast(rows) if rows.count() <= BROADCAST_NODES else rows
+
+    gone = ids(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    left = docs.join(gone, own == F.col("_id_of_gone"), "left_anti")
+    again = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
+    if again.isEmpty():
+        return left
+    again = ids(again, "again")
+    # the window's limit holds before its shuffle too, so an id with very many rows sends one from each task
+    first = F.row_number().over(Window.partitionBy(own).orderBy(F.xxhash64(text_col)))
+    nth = "_".join(["nth", *docs.columns])
+    one = left.join(again, own == F.col("_id_of_again"), "left_semi").withColumn(nth, first).where(F.col(nth) == 1).drop(nth)
+    return left.join(again, own == F.col("_id_of_again"), "left_anti").unionByName(one)
 
 
 def op9_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -18,14 +18,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, id_
     Rows are chosen by a hash of the id.  Ids with labels of both classes are left out.
     """
     known = labels.where(F.col(label).isin(0, 1) & ~held_out(id_col) & F.col(id_col).isNotNull())
-    known = known.groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.min(label).cast("int").alias("y"), F.max(label).cast("int").alias("z")).where("y = z")
+    known = known.select(F.col(id_col).cast("long").alias("_id"), F.col(label).cast("int").alias("l"))
+    known = known.groupBy("_id").agg(F.min("l").alias("y"), F.max("l").alias("z")).where("y = z")
     chosen = None
     for y in (0, 1):
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("_id"), "_id").limit(most).select("_id", "y")
         chosen = part if chosen is None else chosen.unionByName(part)
     # at most twice ``most`` rows: bounded, whatever the table's size
-    rows = docs.join(F.broadcast(chosen), F.col(id_col).cast("long") == F.col("_id"), "inner")
-    out = rows.select(F.col("_id").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), "y").toPandas()
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    out = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"), "inner").select("doc_id", "text", "y").toPandas()
     return out.drop_duplicates("doc_id").sort_values("doc_id", ignore_index=True)
 
 

@@ -59,6 +59,15 @@ def test_packing(docs, empty):
     assert packing.pack_documents(empty).count() == 0
 
 
+def test_packing_with_ids_and_repeated_rows(spark):
+    df = spark.createDataFrame([(None, "same words " * 5)] * 3000, "doc_id long, text string")
+    pieces = packing.token_pieces(df, with_ids=True).collect()
+    assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 and r.ids[-1] == 0 for r in pieces)
+    packed = packing.packed(packing.token_pieces(df.repartition(8)), partition_pieces=800)
+    shares = Counter(r.sequence_id >> 32 for r in packed.collect())
+    assert len(shares) == 4 and max(shares.values()) < 1500
+
+
 def test_best_fit_closes_the_fullest():
     bins, offsets = packing.best_fit([6, 5, 4, 3], 10, 2)
     assert bins == [0, 1, 0, 1] and offsets == [0, 0, 6, 5]
@@ -181,14 +190,71 @@ def test_merkle(docs, empty):
     assert merkle.compared(empty).count() == 0
 
 
-def test_mixing(docs, empty):
-    assert mixing.targets([10, 10, 100], [5.0, 2.0, 1.0], 3) == [30.0, 30.0, 60.0]
+def plain_targets(sizes, weights, most):
+    """Shares of all sizes by weight, none over most times its own."""
+    out, left = [0.0] * len(sizes), float(sum(sizes))
+    free = [k for k, v in enumerate(sizes) if v > 0]
+    while free:
+        share = sum(weights[k] for k in free)
+        over = [k for k in free if left * weights[k] / share > most * sizes[k]]
+        if not over:
+            for k in free:
+                out[k] = left * weights[k] / share
+            break
+        for k in over:
+            out[k] = most * sizes[k]
+        left -= sum(out[k] for k in over)
+        free = [k for k in free if k not in set(over)]
+    return out
+
+
+def mix_case(rows):
+    """Totals, targets and what is taken of each source, of (doc_id, source, size, source_size, target, taken)."""
+    sizes, got = Counter(), Counter()
+    for _, source, size, _, _, taken in rows:
+        sizes[source] += size
+        got[source] += taken
+    names = sorted(sizes, key=lambda v: (v is None, (v or "").encode()))
+    want = dict(zip(names, plain_targets([sizes[n] for n in names], [(5.0, 2.0, 1.0)[k % 3] for k in range(len(names))], 3), strict=True))
+    largest = Counter()
+    for _, source, size, total, target, taken in rows:
+        assert total == sizes[source] and target == pytest.approx(want[source])
+        assert taken % max(size, 1) == 0 and taken <= 3 * size
+        largest[source] = max(largest[source], size)
+    for n in names:
+        assert abs(got[n] - want[n]) <= max(1, largest[n]), (n, got[n], want[n])
+
+
+def test_mixing(docs, empty, spark):
     quotas = np.array([7, 0, 11])
     assert (mixing.split_quotas(quotas, 5, 1).sum(0) == quotas).all()
+    sources = {(i, len(WORD.findall(t or ""))): f"s{i % 3}" if i % 5 else None for i, t in texts()}
     rows = mixing.taken(docs).collect()
-    assert len(rows) == docs.count() and all(0 <= r.taken <= 3 * r["size"] for r in rows)
-    assert mixing.mixed(docs).count() == sum(r.copies for r in rows)
+    mix_case([(r.doc_id, sources[r.doc_id, r["size"]], r["size"], r.source_size, r.target, r.taken) for r in rows])
+    assert len(rows) == docs.count() and mixing.mixed(docs).count() == sum(r.copies for r in rows)
     assert mixing.taken(empty).count() == 0 and mixing.mixed(empty).count() == 0
+    again = mixing.taken(docs).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
+
+
+def test_mixing_of_many_sources_and_of_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "OWN", 20)
+    monkeypatch.setattr(mixing, "RANKED", 700)
+    monkeypatch.setattr(mixing, "FEW", 12)
+    rows = [(k, "a b c " * (1 + k % 4), f"h{k % 2500}") for k in range(5000)] + [(None, "ten words are here so that all are of one", "zero")] * 50 + [(7, "same id and other text", "one")] * 40 + [(-k, "big " * 30, None) for k in range(1, 300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    sources = {}
+    for i, t, name in rows:
+        sources[i, len(t.split())] = name
+    for few in (100_000, 10):
+        monkeypatch.setattr(mixing, "BROADCAST_SOURCES", few)
+        got = mixing.taken(df).collect()
+        assert len(got) == len(rows)
+        mix_case([(r.doc_id, sources[r.doc_id, r["size"]], r["size"], r.source_size, r.target, r.taken) for r in got])
+    copies = Counter()
+    for r in got:
+        copies[r.doc_id] += r.copies
+    assert Counter(r.doc_id for r in mixing.mixed(df, shards=7).collect()) == +copies
 
 
 def test_taken_counts_what_is_drawn(docs, monkeypatch):

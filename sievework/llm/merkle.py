@@ -1,80 +1,121 @@
 """Document fingerprints: a Merkle tree over paragraphs and sections, in SQL functions alone.
 
-A text is split at newlines into paragraphs.  A paragraph's node is the hash of its text; a section ends
-after a paragraph whose node begins with 0 or 1 in hexadecimal (an eighth of them, by content, so that an
-insertion shifts no later section) and its node is the hash of its paragraphs' nodes; the root is the
-hash of the sections' nodes.  Equal roots mean equal texts; where roots differ, differing section nodes
-and below them differing paragraph nodes locate the edit.  Each paragraph also has leaves, the short
-hashes of its stretches of up to 96 characters, so that likeness is fine in texts of few paragraphs.
-
-A fingerprint is ``root:sections:paragraphs:leaves``, each list joined by dots.  The likeness of two is
-1 for equal roots, else twice the number of distinct leaves that both have over the sum of what each has.
+A text is split at newlines into paragraphs.  A paragraph's node is the hash of its text, with short hashes
+of its stretches of up to 96 characters as leaves; a section ends after a paragraph whose node begins with 0
+or 1 in hexadecimal (an eighth of them, by content, so that an insertion shifts no later section) and its
+node is the hash of what its paragraphs are; the root is the hash of the sections' nodes.  Equal roots mean
+equal texts; where roots differ, differing section nodes and below them differing paragraph nodes locate
+the edit.
+
+A fingerprint is ``root:section|section``, a section ``node=paragraph,paragraph``, and a paragraph
+``node+leaf+leaf``.  The likeness of two is 1 for equal roots.  Else both trees are descended: sections whose
+nodes both have are alike below, and only the leaves of the others are compared.  It is twice the number of
+distinct leaves that both have over the sum of what each has.
 
 Defined results: null is an empty text, which is one empty paragraph, with no leaf.  Rows with a null id
 take no part.  Of rows with one id the next document of the smaller text comes first; all get results.
 Other columns are ignored.  With one document, it is its own next.  An empty table gives an empty result.
+Rows of one id are ordered in one task.
 """
 
 from __future__ import annotations
 
+import bisect
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a stretch of ids that is ordered in one group, about; tables of stretches up to this many rows are broadcast.
+#: Rows of a stretch of ids that is ordered in one group, about, and stretches at most.
 STRETCH = 4096
-BROADCAST_ROWS = 200_000
+STRETCHES = 1 << 15
 
 
 def _digest(x: Column, n: int) -> Column:
     return F.substring(F.sha2(x, 256), 1, n)
 
 
-def nodes(text: Column) -> Column:
-    """Paragraph nodes, joined by dots."""
-    return F.array_join(F.transform(F.split(text, "\n", -1), lambda p: _digest(p, 16)), ".")
+def _paragraph(p: Column) -> Column:
+    leaves = F.transform(F.regexp_extract_all(p, F.lit(r"[^\n]{1,96}"), F.lit(0)), lambda c: F.concat(F.lit("+"), _digest(c, 8)))
+    return F.concat(_digest(p, 16), F.array_join(leaves, ""))
+
+
+def _ended(p: Column) -> Column:
+    return F.concat(p, F.when(F.substring(p, 1, 1).isin("0", "1"), "|").otherwise(","))
 
 
 def fingerprint(text: Column) -> Column:
     """The fingerprint of a text (see the module); the text must not be null."""
-    paragraphs = nodes(text)
-    sections = F.array_join(F.transform(F.split(F.regexp_replace(paragraphs, r"(^|\.)([01][0-9a-f]{15})\.", "$1$2|"), r"\|", -1), lambda s: _digest(s, 16)), ".")
-    leaves = F.array_join(F.transform(F.regexp_extract_all(text, F.lit(r"[^\n]{1,96}"), F.lit(0)), lambda c: _digest(c, 8)), ".")
-    return F.concat_ws(":", F.sha2(sections, 256), sections, paragraphs, leaves)
+    joined = F.array_join(F.transform(F.split(text, "\n", -1), lambda p: _ended(_paragraph(p))), "")
+    sections = F.transform(F.split(F.substring(joined, F.lit(1), F.length(joined) - 1), r"\|", -1), lambda s: F.concat(_digest(s, 16), F.lit("="), s))
+    return F.element_at(F.transform(F.array(sections), lambda all_: F.concat(F.sha2(F.array_join(F.transform(all_, lambda s: F.substring(s, 1, 16)), "."), 256), F.lit(":"), F.array_join(all_, "|"))), 1)
+
+
+def _sections(print_: Column) -> Column:
+    return F.split(F.substring_index(print_, ":", -1), r"\|")
+
+
+def _nodes(sections: Column) -> Column:
+    return F.transform(sections, lambda s: F.substring(s, 1, 16))
+
+
+def _leaves(sections: Column) -> Column:
+    """Distinct leaves below some sections."""
+    return F.array_distinct(F.regexp_extract_all(F.array_join(sections, ","), F.lit(r"\+([0-9a-f]{8})"), F.lit(1)))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """How alike two fingerprints are, from 0 to 1."""
-    leaves = [F.filter(F.array_distinct(F.split(F.element_at(F.split(x, ":", -1), 4), r"\.")), lambda v: v != "") for x in (a, b)]
-    both, sizes = F.size(F.array_intersect(*leaves)), F.size(leaves[0]) + F.size(leaves[1])
+
+    def descended(x: Column, y: Column) -> Column:
+        nodes = _nodes(y), _nodes(x)
+        both = _leaves(F.filter(x, lambda s: F.array_contains(nodes[0], F.substring(s, 1, 16))))
+        mine = _leaves(F.filter(x, lambda s: ~F.array_contains(nodes[0], F.substring(s, 1, 16))))
+        other = _leaves(F.filter(y, lambda s: ~F.array_contains(nodes[1], F.substring(s, 1, 16))))
+        sizes = F.size(F.array_union(both, mine)) + F.size(F.array_union(both, other))
+        return F.when(sizes == 0, F.lit(0.0)).otherwise(2.0 * F.size(F.array_union(both, F.array_intersect(mine, other))) / sizes)
+
     same = F.substring_index(a, ":", 1) == F.substring_index(b, ":", 1)
-    return F.when(same, F.lit(1.0)).when(sizes == 0, F.lit(0.0)).otherwise(2.0 * both / sizes)
+    return F.when(same, F.lit(1.0)).otherwise(descended(_sections(a), _sections(b)))
+
+
+def differing(a: Column, b: Column, paragraphs: bool = False) -> Column:
+    """Places (from 0) in a's list of sections, or of paragraphs, whose nodes b doesn't have."""
+
+    def nodes(x: Column) -> Column:
+        return F.regexp_extract_all(x, F.lit(r"[=,]([0-9a-f]{16})"), F.lit(1)) if paragraphs else _nodes(_sections(x))
+
+    other = nodes(b)
+    return F.filter(F.transform(nodes(a), lambda v, k: F.when(~F.array_contains(other, v), k)), lambda k: k.isNotNull())
 
 
-def differing(a: Column, b: Column, level: int) -> Column:
-    """Places (from 0) in a's list of sections (level 2) or paragraphs (3) whose nodes b doesn't have."""
-    mine, other = (F.split(F.element_at(F.split(x, ":", -1), level), r"\.") for x in (a, b))
-    return F.filter(F.transform(mine, lambda v, k: F.when(~F.array_contains(other, v), k)), lambda k: k.isNotNull())
+def _stretch(bounds: list[int]) -> Column:
+    """How many bounds are at or below an id, by its place among groups of bounds and then within one."""
+    step = max(1, round(len(bounds) ** 0.5))
+    groups = [bounds[k : k + step] for k in range(0, len(bounds), step)]
+    first = F.from_json(F.lit(str([g[0] for g in groups])), "array<bigint>")
+    inner = F.from_json(F.lit(str(groups)), "array<array<bigint>>")
+    group = F.greatest(F.size(F.filter(first, lambda v: v <= F.col("doc_id"))), F.lit(1))
+    return (group - 1) * step + F.size(F.filter(F.element_at(inner, group), lambda v: v <= F.col("doc_id")))
 
 
 def in_order(docs: DataFrame) -> tuple[DataFrame, object]:
     """doc_id, text, and a window in which each row's next document, by descending id, is the row behind.
 
-    Ids are cut into stretches of even width, which the window orders one by one.  The last row of a
-    stretch needs the first document below it, and the lowest stretch the first of all; it is added as a
-    guard (guard = 1), to be dropped after use.
+    Ids are cut at quantiles into stretches of about equal numbers of rows, which the window orders one by
+    one.  The last row of a stretch needs the first document below it, and the lowest stretch the first of
+    all; it is added as a guard (guard = 1), to be dropped after use.
     """
     order = Window.partitionBy("stretch").orderBy("guard", F.desc("doc_id"), "text")
-    low, high, count = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
-    if not count:
-        return docs.withColumns({"stretch": F.lit(0).cast("long"), "guard": F.lit(0)}), order
-    width = max(1, -(-(high - low + 1) * STRETCH // count))
-    rows = docs.withColumn("stretch", F.expr(f"(doc_id - {low}L) div {width}L"))
-    tops = rows.groupBy("stretch").agg(F.max("doc_id").alias("top"))
-    every = Window.orderBy("stretch")
-    above = F.coalesce(F.lead("stretch").over(every), F.min("stretch").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    tops = tops.select("top", above.alias("guarded"))
-    tops = F.broadcast(tops) if (high - low + 1) // width + 1 <= BROADCAST_ROWS else tops
-    guards = rows.join(tops, rows.doc_id == tops.top, "inner").groupBy("doc_id", F.col("guarded").alias("stretch")).agg(F.min("text").alias("text"))
+    count = docs.count()
+    many = min(STRETCHES, max(1, count // STRETCH))
+    cuts = [k / many for k in range(1, many)]
+    bounds = docs.agg(F.percentile_approx("doc_id", cuts, 10 * many)).first()[0] if cuts and count else None
+    rows = docs.withColumn("stretch", _stretch(sorted(set(bounds))) if bounds else F.lit(0))
+    tops = {r["stretch"]: r["top"] for r in rows.groupBy("stretch").agg(F.max("doc_id").alias("top")).collect()}  # one row a stretch
+    held = sorted(tops)
+    guarded = [(tops[k], held[(bisect.bisect(held, k)) % len(held)]) for k in held]
+    tops = docs.sparkSession.createDataFrame(guarded, "top long, guarded int")
+    guards = rows.join(F.broadcast(tops), F.col("doc_id") == F.col("top"), "inner").groupBy("doc_id", F.col("guarded").alias("stretch")).agg(F.min("text").alias("text"))
     return rows.select("doc_id", "text", "stretch", F.lit(0).alias("guard")).unionByName(guards.select("doc_id", "text", "stretch", F.lit(1).alias("guard"))), order
 
 
@@ -99,12 +140,12 @@ n AS (SELECT doc_id, text, coalesce(lead(text) OVER w, first_value(text) OVER w)
       FROM d WINDOW w AS (ORDER BY doc_id DESC, text ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
 e AS (SELECT *, substring(text, 1, length(text) - length(text) // 2) || substring(next_text, 1, length(text) // 2) AS edited FROM n),
 t AS (SELECT doc_id, 0 AS which, text AS x FROM e UNION ALL SELECT doc_id, 1, edited FROM e UNION ALL SELECT doc_id, 2, next_text FROM e),
-p AS (SELECT doc_id, which, array_to_string(list_transform(string_split(x, chr(10)), lambda s: sha256(s)[1:16]), '.') AS paragraphs,
-             array_to_string(list_transform(regexp_extract_all(x, '[^\n]{1,96}'), lambda s: sha256(s)[1:8]), '.') AS leaves FROM t),
-s AS (SELECT *, array_to_string(list_transform(string_split(regexp_replace(paragraphs, '(^|\.)([01][0-9a-f]{15})\.', '\1\2|', 'g'), '|'), lambda v: sha256(v)[1:16]), '.') AS sections FROM p),
-f AS (SELECT doc_id, which, sha256(sections) AS root, sha256(sections) || ':' || sections || ':' || paragraphs || ':' || leaves AS fp,
-             CASE WHEN leaves = '' THEN [] ELSE list_distinct(string_split(leaves, '.')) END AS own FROM s),
-j AS (SELECT a.doc_id, a.fp AS fingerprint, b.fp AS edited_fingerprint,
+p AS (SELECT doc_id, which, list_transform(string_split(x, chr(10)), lambda s: sha256(s)[1:16] || array_to_string(list_transform(regexp_extract_all(s, '[^\n]{1,96}'), lambda c: '+' || sha256(c)[1:8]), '')) AS paragraphs,
+             list_distinct(list_transform(regexp_extract_all(x, '[^\n]{1,96}'), lambda c: sha256(c)[1:8])) AS own FROM t),
+j0 AS (SELECT *, array_to_string(list_transform(paragraphs, lambda q: q || CASE WHEN q[1] IN ('0', '1') THEN '|' ELSE ',' END), '') AS joined FROM p),
+s AS (SELECT doc_id, which, own, list_transform(string_split(joined[1:length(joined) - 1], '|'), lambda v: sha256(v)[1:16] || '=' || v) AS sections FROM j0),
+f AS (SELECT doc_id, which, own, sha256(array_to_string(list_transform(sections, lambda v: v[1:16]), '.')) AS root, array_to_string(sections, '|') AS listed FROM s),
+j AS (SELECT a.doc_id, a.root || ':' || a.listed AS fingerprint, b.root || ':' || b.listed AS edited_fingerprint,
              CASE WHEN a.root = b.root THEN 1.0::DOUBLE WHEN len(a.own) + len(b.own) = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(a.own, b.own)) / (len(a.own) + len(b.own)) END AS near_edited,
              CASE WHEN a.root = c.root THEN 1.0::DOUBLE WHEN len(a.own) + len(c.own) = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(a.own, c.own)) / (len(a.own) + len(c.own)) END AS near_next
       FROM f a JOIN f b ON a.doc_id = b.doc_id AND a.which = 0 AND b.which = 1 JOIN f c ON a.doc_id = c.doc_id AND c.which = 2)

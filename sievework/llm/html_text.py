@@ -15,7 +15,8 @@ text that can't be in one.  Text of math, svg, object, select and media elements
 references are decoded, white space inside a block becomes one space, blocks are trimmed and joined by
 newlines in page order.
 
-Bound: ``TRAIN_PAGES`` pages.  Defined results: a null or empty page gives an empty text, and so does one
+Bound: ``TRAIN_PAGES`` pages, in parts of 200 blocks.  Of a sample with under ``FEW_PAGES`` pages that have
+labelled elements, or none, made-up pages are learned too.  Defined results: a null or empty page gives an empty text, and so does one
 whose blocks are all labelled otherwise; text outside any element is a block like others.  Unclosed and
 mismatched tags close at the next tag that ends their parent.  Rows with a null id get results.  Repeated
 rows get results alike.  Other columns are ignored.  An empty table gives an empty result.
@@ -37,6 +38,8 @@ from .bytehash import U, word_hashes, word_spans
 from .supervised import as_buffer
 
 TRAIN_PAGES = 400
+#: With fewer labelled pages in the sample, made-up ones are added.
+FEW_PAGES = 20
 HIDDEN, EMBED = 8, 8
 PATH_BITS, WORD_BITS = 11, 12
 RESULT = "page_id long, url string, text string, n_chars long"
@@ -291,10 +294,28 @@ def rewritten(page: list[Block], rng: np.random.Generator) -> list[Block]:
     return out
 
 
+def invented(rng: np.random.Generator, many: int = 40) -> list[list[Block]]:
+    """Made-up pages with labels, for samples that have hardly any: main text among menus, notices and asides."""
+    word = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 4000, n))
+    around = [("nav", "ul", "li", "a"), ("header", "h2"), ("aside", "p"), ("footer", "p"), ("form", "label"), ("div", ".cookie-notice", ".notice", "p"), ("div", ".advert", "p"), ("section", ".comments", "div", ".comment", "p")]
+    out = []
+    for _ in range(many):
+        page = [Block(word(int(rng.integers(1, 5))), ("html", "body", *around[k]), float(k == 0), 0) for k in rng.choice(2, int(rng.integers(1, 4)))]
+        page.append(Block(word(6), ("html", "body", "article", "h1"), 0.0, 1))
+        page += [Block(word(int(rng.integers(8, 60))), ("html", "body", "article", "p"), 0.0, 1) for _ in range(int(rng.integers(1, 9)))]
+        page += [Block(word(int(rng.integers(2, 30))), ("html", "body", *around[k]), 0.0, 0) for k in rng.choice(np.arange(2, len(around)), int(rng.integers(1, 5)))]
+        out.append(page)
+    return out
+
+
 def fit(pages: list[str], seed: int = 2, rounds: int = 8) -> dict:
     rng = np.random.default_rng(seed)
     plain = [p for p in map(blocks_of, pages) if any(b.label >= 0 for b in p)]
-    train = [p[:200] for p in plain + [rewritten(p, rng) for p in plain] + [rewritten(p, rng) for p in plain]]
+    if len(plain) < FEW_PAGES:
+        plain += invented(rng)
+    train = plain + [rewritten(p, rng) for p in plain] + [rewritten(p, rng) for p in plain]
+    # long pages in parts, so that a batch stays small
+    train = [p[k : k + 200] for p in train for k in range(0, len(p), 200)]
     normal = lambda *s: (rng.standard_normal(s) * 0.3).astype(np.float32)
     width = 2 * EMBED + 3
     model = {"path": normal(1 << PATH_BITS, EMBED), "word": normal(1 << WORD_BITS, EMBED) * 0.1, "w": normal(2 * HIDDEN), "c": np.zeros(1, np.float32)}
@@ -337,8 +358,9 @@ def fit(pages: list[str], seed: int = 2, rounds: int = 8) -> dict:
 def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", train_pages: int = TRAIN_PAGES) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     # the sample: the pages whose ids hash lowest
-    chosen = pages.where(F.col(html_col) != "").select(F.col(html_col).alias("h"), F.xxhash64(id_col).alias("o"))
-    sample = chosen.orderBy("o").limit(train_pages).collect()
+    known = pages.select(F.col(id_col).cast("long").alias("i"), F.col(html_col).alias("h")).where("i IS NOT NULL AND h <> ''")
+    ids = [r["i"] for r in known.select("i").distinct().orderBy(F.xxhash64("i"), "i").limit(train_pages).collect()]
+    sample = known.where(F.col("i").isin(ids)).groupBy("i").agg(F.min("h").alias("h")).orderBy("i").collect() if ids else []  # ``train_pages`` pages
     model = fit([r["h"] for r in sample])
     shared = pages.sparkSession.sparkContext.broadcast(model)  # tables of 2**PATH_BITS and 2**WORD_BITS rows
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])

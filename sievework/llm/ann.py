@@ -1,8 +1,8 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph per shard.
 
 Method.  Vectors are dealt by a hash over shards.  A shard draws each vector's level, and each layer
-links vectors of that level or higher: they are inserted in batches, the nearest of those inserted
-before are candidates (found by a blocked matrix product), a heuristic keeps candidates nearer to the
+links vectors of that level or higher: they are inserted in batches, what a search of the graph so far
+finds and the batch itself are candidates, a heuristic keeps candidates nearer to the
 new vector than to any kept one, links are made both ways, and lists that overflow keep the nearest.  The
 graph is stored as flat arrays of neighbours.  A search goes greedily down the layers, then keeps a beam
 on the lowest; queries advance together, so a step is a few numpy calls.  Results of shards are merged
@@ -70,7 +70,10 @@ def _diverse(x: np.ndarray, norms: np.ndarray, near: np.ndarray, dist: np.ndarra
 
 
 def build_layer(x: np.ndarray, links: int, most: int) -> np.ndarray:
-    """Neighbours of each row, -1 where a list has room; rows are inserted in order."""
+    """Neighbours of each row, -1 where a list has room; rows are inserted in order, some at a time.
+
+    Candidates of a row are what a search of the graph so far finds, and rows inserted with it.
+    """
     n = len(x)
     norms = np.einsum("ij,ij->i", x, x)
     out = np.full((n, most), -1, np.int32)
@@ -79,7 +82,12 @@ def build_layer(x: np.ndarray, links: int, most: int) -> np.ndarray:
     lo = 1
     while lo < n:
         hi = min(n, lo + min(max(lo, 1), 256))
-        near, dist = _nearest(x, norms, lo, hi, BUILD)
+        own, d = _nearest(x[lo:hi], norms[lo:hi], 0, hi - lo, min(BUILD, hi - lo))
+        near = np.where(own >= 0, own + lo, -1)
+        found, f = search_layer(x[:lo], out[:lo], x[lo:hi], np.zeros(hi - lo, np.int64), BUILD, 6)
+        near, dist = np.concatenate([found, near], axis=1), np.concatenate([f, d], axis=1)
+        order = np.argsort(np.where(near >= 0, dist, np.inf), axis=1, kind="stable")[:, :BUILD]
+        near, dist = np.take_along_axis(near, order, axis=1), np.take_along_axis(dist, order, axis=1)
         keep = _diverse(x, norms, near, dist, links)
         r, c = np.nonzero(keep)
         a, b, d = r + lo, near[r, c], dist[r, c]

@@ -17,7 +17,7 @@ The input products of the recurrent units are computed once for each distinct wo
 
 Bound: ``TRAIN_ROWS`` labelled rows of each class at most.
 
-Defined results: a null, empty or wordless text is scored as one window without words.  Rows with a null
+Defined results: a null, empty or wordless text scores next to 0.  Rows with a null
 id are scored, with a null id, not held out.  Repeated rows are scored alike.  Without labels of both
 classes all scores are 0, so nothing is rejected.  Other columns are ignored.  An empty table gives an
 empty result.
@@ -246,10 +246,12 @@ def highest(logits: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
 
 
 def logits(model: dict, w: Words, batch: int = 4096) -> np.ndarray:
-    """Each text's highest window's logit."""
+    """Each text's highest window's logit; without words there is nothing toxic."""
     given = project(model, inputs(model, w))
     idx, text = w.windows()
-    return highest(np.concatenate([run(model, given, idx[k : k + batch]) for k in range(0, len(idx), batch)]) if len(idx) else np.zeros(0), text, w.n_texts)
+    out = highest(np.concatenate([run(model, given, idx[k : k + batch]) for k in range(0, len(idx), batch)]) if len(idx) else np.zeros(0), text, w.n_texts)
+    out[np.bincount(w.text, minlength=w.n_texts) == 0] = -np.inf
+    return out
 
 
 def fit(texts: list[str], y: np.ndarray, seed: int = 5, steps: int = 400, batch: int = 128) -> dict | None:

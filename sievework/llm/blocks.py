@@ -26,6 +26,13 @@ CHUNK_BYTES = 1 << 20
 BLOCK = "block long, n long, ids binary, lens binary, data binary, carried binary"
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """The name, lengthened until no column has it."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a column of texts, null as empty, and where each text starts (and the last ends)."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -127,7 +134,7 @@ def pack_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # rows without an id go before columns are put side by side: a carried one may have any name
     rows = docs.where(F.col(id_col).cast("long").isNotNull())
-    packed = rows.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), *[F.col(c) for c in carry]).mapInArrow(make, BLOCK)
+    packed = rows.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_carried_{k}") for k, c in enumerate(carry)]).mapInArrow(make, BLOCK)
     n = max(8, docs.sparkSession.sparkContext.defaultParallelism, docs.rdd.getNumPartitions())
     packed = kept(packed.repartition(n, "block"))
     blocks, size = packed.agg(F.count("*"), F.coalesce(F.sum(F.expr("aggregate(array(length(data)), 0L, (a, x) -> a + x)")), F.lit(0))).first()

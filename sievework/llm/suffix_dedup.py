@@ -188,17 +188,18 @@ def without_repeats(docs: DataFrame, size: int = 200, id_col: str = "doc_id", te
     The column named ``length_col``, if there is one, gets the new texts' lengths; rows with a null id stay
     as they are.
     """
-    whole = repeated_byte_strings(docs, size, id_col, text_col, split=split, carry=docs.columns).where(F.col("_kept").isNotNull())
-    new = {text_col: F.when(F.col(text_col).isNotNull(), F.col("_kept"))}
+    kept = B.free_name("_kept", docs.columns)
+    whole = repeated_byte_strings(docs, size, id_col, text_col, split=split, carry=docs.columns).where(F.col(kept).isNotNull())
+    new = {text_col: F.when(F.col(text_col).isNotNull(), F.col(kept))}
     if length_col in docs.columns:
-        new[length_col] = F.when(F.col(text_col).isNotNull(), F.length("_kept")).otherwise(F.col(length_col)).cast(docs.schema[length_col].dataType)
+        new[length_col] = F.when(F.col(text_col).isNotNull(), F.length(kept)).otherwise(F.col(length_col)).cast(docs.schema[length_col].dataType)
     return whole.withColumns(new).select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def repeated_byte_strings(docs: DataFrame, size: int = 200, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, split: int = SPLIT, carry: list[str] | None = None) -> DataFrame:
     """Each document with its bytes, removed bytes and maximal removed runs, and what is kept (see RESULT).
 
-    With ``carry``, its columns instead, and ``_kept`` for what is kept of the text.
+    With ``carry``, its columns instead, and ``_kept`` (longer if a column has that name) for what is kept of the text.
     """
     if size < GRAM:
         raise ValueError(f"size must be {GRAM} at least")
@@ -339,7 +340,8 @@ def repeated_byte_strings(docs: DataFrame, size: int = 200, id_col: str = "doc_i
             spans = int(cut[:1].sum() + (cut[1:] & ~cut[:-1]).sum())
             out.append({"doc_id": int(ids[k]), "n_bytes": int(j - i), "n_removed": int(cut.sum()), "n_spans": spans, "kept_sha256": hashlib.sha256(kept).hexdigest(), "kept_text": kept.decode("utf-8", "ignore") if with_text else None})
         if carry:
-            return B.from_stream(row["carried"]).append_column("_kept", pa.array([o["kept_text"] for o in out], pa.string()))
+            table = B.from_stream(row["carried"]).append_column("_kept", pa.array([o["kept_text"] for o in out], pa.string()))
+            return table.rename_columns([*carry, B.free_name("_kept", carry)])
         return out
 
     judged = written(B.shards(B.send(packed, census, _MESSAGES, _MESSAGE), judge, _MESSAGES, _MESSAGE), "judged")
@@ -350,7 +352,7 @@ def repeated_byte_strings(docs: DataFrame, size: int = 200, id_col: str = "doc_i
     answers = judged.unionByName(searched.where(F.col("block").isNotNull())).unionByName(merged)
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
     if carry:
-        both = docs.select(carry).withColumn("_kept", F.lit(None).cast("string")).schema
+        both = docs.select(carry).withColumn(B.free_name("_kept", carry), F.lit(None).cast("string")).schema
         return B.answered(packed, answers, result, both, to_arrow_schema(both))
     out = B.answered(packed, answers, result, RESULT, schema)
     return out if with_text else out.drop("kept_text")

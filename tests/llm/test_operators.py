@@ -190,6 +190,39 @@ def test_merkle(docs, empty):
     assert merkle.compared(empty).count() == 0
 
 
+def test_merkle_of_wide_and_uneven_ids(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(merkle, "STRETCH", 16)
+    ids = [-(1 << 63), *range(200), 1 << 50, (1 << 63) - 1]
+    df = spark.createDataFrame([(i, f"text of {i}") for i in ids], "doc_id long, text string")
+    got = {r.doc_id: r.edited_sha256 for r in merkle.compared(df).collect()}
+    for k, i in enumerate(ids):
+        t, after = f"text of {i}", f"text of {ids[k - 1]}"
+        assert got[i] == hashlib.sha256((t[: len(t) - len(t) // 2] + after[: len(t) // 2]).encode()).hexdigest()
+    rows, _ = merkle.in_order(df)
+    assert rows.where("guard = 0").groupBy("stretch").count().agg(F.max("count")).first()[0] < 60
+
+
+def test_merkle_sections_and_edits(spark):
+    from pyspark.sql import functions as F
+
+    ends = [t for t in (f"line {k}" for k in range(400)) if hashlib.sha256(t.encode()).hexdigest()[0] in "01"]
+    lines = ["first", ends[0], ends[1], "last"]
+    a, b = "\n".join(lines), "\n".join([*lines[:3], "other"])
+    row = spark.createDataFrame([(a, b)], "a string, b string").select(merkle.fingerprint(F.col("a")).alias("a"), merkle.fingerprint(F.col("b")).alias("b"))
+    row = row.select("a", merkle.differing(F.col("a"), F.col("b")).alias("s"), merkle.differing(F.col("a"), F.col("b"), True).alias("p"), merkle.likeness(F.col("a"), F.col("b")).alias("like")).first()
+    ended = [len(re.split(r"[,]", part)) for part in row.a.split(":")[1].split("|")]
+    want, run = [], 0
+    for t in lines:
+        run += 1
+        if hashlib.sha256(t.encode()).hexdigest()[0] in "01":
+            want.append(run)
+            run = 0
+    assert ended == want + [run] * (run > 0)
+    assert row.s == [len(ended) - 1] and row.p == [3] and row.like == pytest.approx(0.75)
+
+
 def plain_targets(sizes, weights, most):
     """Shares of all sizes by weight, none over most times its own."""
     out, left = [0.0] * len(sizes), float(sum(sizes))
@@ -281,6 +314,17 @@ def test_html(spark):
     assert got[5] == ("A & B\none two", 13) and got[90] == ("", 0) and got[91] == ("", 0)
 
 
+def test_html_without_labels_and_with_clashes(spark):
+    df = spark.createDataFrame([(1, "u", "<div>a page of plain blocks and nothing else that says what it is</div>", 1, "x")], "page_id long, url string, html string, i int, h string")
+    assert html_text.extracted(df).collect() == html_text.extracted(df).collect()
+    labelled = "<html><body><nav><a>home</a></nav><article><h1>w1 w2</h1><p>w3 w4 w5 w6</p></article><footer><p>end</p></footer></body></html>"
+    one = spark.createDataFrame([(1, "u", labelled)], "page_id long, url string, html string")
+    assert html_text.extracted(one).first().text == "w1 w2\nw3 w4 w5 w6"
+    assert html_text.extracted(one.where("false")).count() == 0
+    long_ = "<article>" + "".join(f"<p>word{k} of a long page</p>" for k in range(900)) + "</article>"
+    assert html_text.extracted(spark.createDataFrame([(k, "u", long_) for k in range(25)], "page_id long, url string, html string")).first().n_chars == len("\n".join(f"word{k} of a long page" for k in range(900)))
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(0)
     x = rng.standard_normal((600, 8))
@@ -324,6 +368,15 @@ def test_toxicity_reads_long_words_whole(spark):
     assert first.tolist() == [0, 50, 82, 114] and last.tolist() == [40, 90, 122, 150] and of.tolist() == [0, 1, 1, 1]
 
 
+def test_classifiers_with_clashing_columns(spark):
+    rows = [(k, ("calm words number%d " % k) * 6 + ("nasty###" if k % 4 == 0 else ""), 1, 2, 3) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, y int, _id int, l int")
+    labelled = spark.createDataFrame([(k, int(k % 4 != 0), int(k % 4 == 0), 1) for k in range(60)], "doc_id long, quality int, toxic int, y int")
+    for module in (quality, toxicity):
+        assert module.scored(df, labelled).count() == 60
+    assert set(toxicity.clean(df, labelled).columns) == set(df.columns)
+
+
 def test_classifiers(spark, docs, empty):
     rows = [(k, ("plain calm words number%d here " % k) * 6 + ("nasty###" if k % 4 == 0 else "")) for k in range(240)]
     labelled = spark.createDataFrame([(k, int(k % 4 != 0), int(k % 4 == 0)) for k, _ in rows], "doc_id long, quality int, toxic int")

@@ -30,6 +30,11 @@ STRETCH = 4096
 STRETCHES = 1 << 15
 
 
+def _once(x: Column, f) -> Column:
+    """f(x), with x computed once also where f uses it inside of lambdas."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def _digest(x: Column, n: int) -> Column:
     return F.substring(F.sha2(x, 256), 1, n)
 
@@ -46,8 +51,8 @@ def _ended(p: Column) -> Column:
 def fingerprint(text: Column) -> Column:
     """The fingerprint of a text (see the module); the text must not be null."""
     joined = F.array_join(F.transform(F.split(text, "\n", -1), lambda p: _ended(_paragraph(p))), "")
-    sections = F.transform(F.split(F.substring(joined, F.lit(1), F.length(joined) - 1), r"\|", -1), lambda s: F.concat(_digest(s, 16), F.lit("="), s))
-    return F.element_at(F.transform(F.array(sections), lambda all_: F.concat(F.sha2(F.array_join(F.transform(all_, lambda s: F.substring(s, 1, 16)), "."), 256), F.lit(":"), F.array_join(all_, "|"))), 1)
+    sections = F.transform(F.split(F.rtrim(joined, F.lit(",|")), r"\|", -1), lambda s: F.concat(_digest(s, 16), F.lit("="), s))
+    return _once(sections, lambda all_: F.concat(F.sha2(F.array_join(_nodes(all_), "."), 256), F.lit(":"), F.array_join(all_, "|")))
 
 
 def _sections(print_: Column) -> Column:
@@ -66,16 +71,20 @@ def _leaves(sections: Column) -> Column:
 def likeness(a: Column, b: Column) -> Column:
     """How alike two fingerprints are, from 0 to 1."""
 
-    def descended(x: Column, y: Column) -> Column:
-        nodes = _nodes(y), _nodes(x)
-        both = _leaves(F.filter(x, lambda s: F.array_contains(nodes[0], F.substring(s, 1, 16))))
-        mine = _leaves(F.filter(x, lambda s: ~F.array_contains(nodes[0], F.substring(s, 1, 16))))
-        other = _leaves(F.filter(y, lambda s: ~F.array_contains(nodes[1], F.substring(s, 1, 16))))
-        sizes = F.size(F.array_union(both, mine)) + F.size(F.array_union(both, other))
-        return F.when(sizes == 0, F.lit(0.0)).otherwise(2.0 * F.size(F.array_union(both, F.array_intersect(mine, other))) / sizes)
+    def descended(s: Column) -> Column:
+        leaves = F.struct(
+            _leaves(F.filter(s["x"], lambda v: F.array_contains(s["ny"], F.substring(v, 1, 16)))).alias("both"),
+            _leaves(F.filter(s["x"], lambda v: ~F.array_contains(s["ny"], F.substring(v, 1, 16)))).alias("mine"),
+            _leaves(F.filter(s["y"], lambda v: ~F.array_contains(s["nx"], F.substring(v, 1, 16)))).alias("other"),
+        )
+        return _once(leaves, shared)
+
+    def shared(s: Column) -> Column:
+        sizes = F.size(F.array_union(s["both"], s["mine"])) + F.size(F.array_union(s["both"], s["other"]))
+        return F.when(sizes == 0, F.lit(0.0)).otherwise(2.0 * F.size(F.array_union(s["both"], F.array_intersect(s["mine"], s["other"]))) / sizes)
 
     same = F.substring_index(a, ":", 1) == F.substring_index(b, ":", 1)
-    return F.when(same, F.lit(1.0)).otherwise(descended(_sections(a), _sections(b)))
+    return F.when(same, F.lit(1.0)).otherwise(_once(F.struct(_sections(a).alias("x"), _sections(b).alias("y"), _nodes(_sections(a)).alias("nx"), _nodes(_sections(b)).alias("ny")), descended))
 
 
 def differing(a: Column, b: Column, paragraphs: bool = False) -> Column:

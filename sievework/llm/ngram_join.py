@@ -302,3 +302,23 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def op9_ngram_join(spark, sf_dir: str) -> DataFrame:
     return linked_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: Sets as lists, each pair that shares a shingle of both prefixes counted in full, components by a recursive walk.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
+g AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: md5(array_to_string(w[i:i + 3], ' ')))) END AS s FROM d),
+classes AS MATERIALIZED (SELECT list_sort(s) AS s, min(doc_id) AS rep FROM g WHERE len(s) > 0 GROUP BY list_sort(s)),
+u AS (SELECT rep, len(s) AS n, unnest(s) AS x FROM classes),
+f AS (SELECT x, count(*) AS many FROM u GROUP BY x),
+r AS (SELECT u.rep, u.n, u.x, row_number() OVER (PARTITION BY u.rep ORDER BY f.many, u.x) AS k FROM u JOIN f ON f.x = u.x),
+q AS (SELECT rep, n, x FROM r WHERE k <= n - ceil(0.85 * n)::BIGINT + 1),
+c AS (SELECT DISTINCT a.rep AS a, b.rep AS b FROM q a JOIN q b ON a.x = b.x AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)),
+l AS MATERIALIZED (SELECT c.a, c.b FROM c JOIN classes x ON x.rep = c.a JOIN classes y ON y.rep = c.b
+      WHERE 185 * len(list_intersect(x.s, y.s)) >= 85 * (len(x.s) + len(y.s))),
+both_ AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+walk AS (SELECT rep AS v, rep AS z FROM classes UNION SELECT both_.b, walk.z FROM walk JOIN both_ ON both_.a = walk.v),
+m AS (SELECT v, min(z) AS component FROM walk GROUP BY v)
+SELECT g.doc_id, len(g.s)::BIGINT AS n_shingles, coalesce(m.component, g.doc_id) AS component_id
+FROM g LEFT JOIN classes k ON k.s = list_sort(g.s) LEFT JOIN m ON m.v = k.rep
+"""

@@ -19,4 +19,9 @@ QUERIES = {
         ann.op10_nearest_neighbours,
     )
 }
-ORACLES = {"op4_merkle_fingerprints": merkle.ORACLE}
+ORACLES = {
+    "op3_substring_dedup": substring_dedup.ORACLE,
+    "op4_merkle_fingerprints": merkle.ORACLE,
+    "op8_suffix_dedup": suffix_dedup.ORACLE,
+    "op9_ngram_join": ngram_join.ORACLE,
+}

@@ -166,3 +166,14 @@ def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return repeated_word_windows(spark.read.parquet(f"{sf_dir}/documents.parquet"), 50, with_text=False)
 
 
+ORACLE = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
+s AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50),
+h AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS k FROM s),
+gone AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS least FROM h) WHERE least < doc_id),
+covered AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM gone),
+c AS (SELECT doc_id, list(p) AS ps FROM covered GROUP BY doc_id),
+k AS (SELECT d.doc_id, d.w, coalesce(len(c.ps), 0) AS n, coalesce(c.ps, []) AS ps FROM d LEFT JOIN c ON c.doc_id = d.doc_id),
+e AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS kept FROM (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d) a WHERE NOT EXISTS (SELECT 1 FROM covered v WHERE v.doc_id = a.doc_id AND v.p = a.p) GROUP BY doc_id)
+SELECT k.doc_id, len(k.w)::BIGINT AS n_words, k.n::BIGINT AS n_removed, sha256(coalesce(e.kept, '')) AS kept_sha256 FROM k LEFT JOIN e ON e.doc_id = k.doc_id
+"""

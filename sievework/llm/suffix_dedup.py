@@ -360,3 +360,20 @@ def repeated_byte_strings(docs: DataFrame, size: int = 200, id_col: str = "doc_i
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return repeated_byte_strings(spark.read.parquet(f"{sf_dir}/documents.parquet"), 200, with_text=False)
+
+
+#: Texts as hexadecimal digits, two for each byte, so that every window is a string of digits.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents WHERE doc_id IS NOT NULL),
+s AS (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 199)) AS i FROM d WHERE length(x) >= 400),
+h AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 400)) AS k FROM s),
+t AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY k) AS n FROM h) WHERE n > 1),
+g AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER w <= 200 THEN 0 ELSE 1 END AS fresh FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g) GROUP BY doc_id, run),
+p AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM r),
+k AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans, max(b) AS last FROM p GROUP BY doc_id),
+e AS (SELECT p.doc_id, string_agg(substr(d.x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM p JOIN d ON d.doc_id = p.doc_id GROUP BY p.doc_id)
+SELECT d.doc_id, (length(d.x) // 2)::BIGINT AS n_bytes, coalesce(k.n_removed, 0)::BIGINT AS n_removed, coalesce(k.n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN k.doc_id IS NULL THEN d.x ELSE e.kept || substr(d.x, 2 * k.last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id LEFT JOIN e ON e.doc_id = d.doc_id
+"""

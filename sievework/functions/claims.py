@@ -38,40 +38,45 @@ def contains_any(norm: Column, keywords: list[str]) -> Column:
     return reduce(or_, [F.contains(norm, F.lit(k.replace(ZWNJ, " ").strip())) for k in keywords])
 
 
-def claim_class(norm: Column) -> Column:
+def claim_class(norm: Column, classes: dict[str, list[str]] = CLASSES) -> Column:
     """TXT-17: the first class that has a keyword in the text."""
     out = F.lit("GENERAL")
-    for name, keywords in reversed(CLASSES.items()):
+    for name, keywords in reversed(classes.items()):
         out = F.when(contains_any(norm, keywords), name).otherwise(out)
     return out
 
 
-def negated(norm: Column) -> Column:
+def negated(norm: Column, words: list[str] = NEGATION) -> Column:
     """TXT-18."""
-    return contains_any(norm, NEGATION)
+    return contains_any(norm, words)
 
 
-def certainty(norm: Column) -> Column:
+def certainty(norm: Column, reported: list[str] = REPORTED, attributed: list[str] = ATTRIBUTED) -> Column:
     """TXT-19."""
-    return F.when(contains_any(norm, REPORTED), "REPORTED").when(contains_any(norm, ATTRIBUTED), "ATTRIBUTED").otherwise("ASSERTED")
+    return F.when(contains_any(norm, reported), "REPORTED").when(contains_any(norm, attributed), "ATTRIBUTED").otherwise("ASSERTED")
 
 
 def tokens(norm: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(norm), " "), lambda w: F.length(w) > 1))
 
 
-def claim(text: Column, actor: Column, location: Column) -> Column:
-    """A claim with all that comparison needs; actor and location may be null."""
+def claim(text: Column, actor: Column, location: Column, lex=None) -> Column:
+    """A claim with all that comparison needs; actor and location may be null; lex: a Lexicon, or the Persian lists.
+
+    The fingerprint takes the predicate from the first 80 characters as they stand.
+    """
     n = normalized(text)
+    words = (NEGATION, REPORTED, ATTRIBUTED, CLASSES) if lex is None else (lex.negation, lex.reported, lex.attributed, lex.classes)
+    named, against = claim_class(n, words[3]), negated(n, words[0])
     none = F.lit(None).cast("string")
     a, at = F.nullif(normalized(actor), F.lit("")), F.nullif(normalized(location), F.lit(""))
-    parts = [F.coalesce(a, F.lit("")), F.substring(n, 1, 80), F.coalesce(none, F.lit("")), F.coalesce(at, F.lit("")), F.array_join(numbers(n), ","), F.when(negated(n), "NEG").otherwise("POS"), claim_class(n)]
+    parts = [F.coalesce(a, F.lit("")), normalized(F.substring(text, 1, 80)), F.coalesce(none, F.lit("")), F.coalesce(at, F.lit("")), F.array_join(numbers(n), ","), F.when(against, "NEG").otherwise("POS"), named]
     return F.struct(
         a.alias("actor"),
         at.alias("location"),
-        claim_class(n).alias("claim_class"),
-        negated(n).alias("negation"),
-        certainty(n).alias("certainty"),
+        named.alias("claim_class"),
+        against.alias("negation"),
+        certainty(n, words[1], words[2]).alias("certainty"),
         numbers(n).alias("quantity"),
         tokens(n).alias("tokens"),
         F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 16).alias("fingerprint"),

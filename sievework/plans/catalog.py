@@ -8,7 +8,7 @@ from sievework.functions import claims as C
 from sievework.functions import text as T
 from sievework.operators import claims, dedup
 
-from . import relational
+from . import relational, text_queries
 
 FLAGSHIP = "JOIN04_simhash_near_duplicates"
 
@@ -54,7 +54,7 @@ QUERIES: dict = {
     "TXT60_slug": _text(lambda t: T.slug(t).alias("slug")),
     "JOIN04_simhash_near_documents": lambda spark, sf_dir: dedup.near_documents(dedup.with_simhash(_docs(spark, sf_dir))),
     FLAGSHIP: lambda spark, sf_dir: dedup.near_pairs(dedup.with_simhash(_docs(spark, sf_dir))),
-} | relational.QUERIES
+} | relational.QUERIES | text_queries.QUERIES
 ORACLES: dict[str, str] = {
     "TXT02_normalized": f"SELECT doc_id, {_NORM} AS norm FROM documents",
     "TXT03_content_hash": f"SELECT doc_id, sha256({_NORM}) AS content_hash FROM documents",
@@ -67,4 +67,4 @@ ORACLES: dict[str, str] = {
     "TXT22_quarter_hour": "SELECT event_id, strftime(ts, '%Y%m%d%H') || (minute(ts) // 15)::VARCHAR AS bucket FROM events",
     "TXT52_lineage": "SELECT page_id, 'dom:' || lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1)) AS lineage FROM pages",
     "TXT60_slug": "SELECT doc_id, substring(regexp_replace(regexp_replace(lower(substring(text, 1, 100)), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 1, 60) AS slug FROM documents",
-} | relational.ORACLES
+} | relational.ORACLES | text_queries.ORACLES

@@ -8,10 +8,9 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import jaccard, numbers
+from .text import DIGITS, jaccard, numbers
 
 # Fixed values.
-DIGITS = ("۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩", "01234567890123456789")
 ZWNJ = "‌"
 NEGATION = ["نخواهد", "نمی ", "نیست", "نیستند", "نه", "نکرد", "نشد", "لغو", "تکذیب", "لا "]
 REPORTED = ["گفته می‌شود", "احتمال دارد", "ممکن است", "به گزارش", "به نقل از"]

@@ -2,28 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import unicodedata
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values.
+DIGITS = ("۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩", "01234567890123456789")
 ARABIC_LETTERS = ("يك", "یک")
 DIACRITICS = "[ؐ-ًؚ-ٰٟ]"
+TITLE_MARKS = "[«»\"'()\\[\\]{}\\-.،؛:!؟?…]"
 INVISIBLE = "[​-‏‪-‮⁠﻿]"
 
 
 def normalized_for_hash(text: Column) -> Column:
-    """TXT-02 without NFKC: letters unified, diacritics, invisible marks and tags dropped, spaces collapsed, lower case."""
-    x = F.translate(text, *ARABIC_LETTERS)
+    """TXT-02: letters unified, diacritics, invisible marks and tags dropped, spaces collapsed, lower case; null is empty.
+
+    Compatibility forms are left to ``nfkc``, which Spark's functions don't offer, for texts that need it.
+    """
+    x = F.translate(F.coalesce(text, F.lit("")), *ARABIC_LETTERS)
     x = F.regexp_replace(F.regexp_replace(x, DIACRITICS, ""), INVISIBLE, "")
     return F.lower(F.trim(F.regexp_replace(F.regexp_replace(x, "<[^>]+>", " "), r"[ \t\n\r\f]+", " ")))
 
 
+def nfkc(text: Column) -> Column:
+    """The compatibility form of texts; ASCII texts are returned as they are."""
+
+    @F.pandas_udf("string")
+    def form(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+
+    return form(text)
+
+
 def content_hash(text: Column) -> Column:
     return F.sha2(normalized_for_hash(text), 256)
 
 
 def normalized_title(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(normalized_for_hash(text), r"[!-/:-@\[-`{-~]", " "), " +", " "))
+    """TXT-04: punctuation of titles becomes a space."""
+    return F.trim(F.regexp_replace(F.regexp_replace(normalized_for_hash(text), TITLE_MARKS, " "), r"\s+", " "))
 
 
 def once(x: Column, f) -> Column:
@@ -46,26 +69,35 @@ def shingles(text: Column, size: int = 3) -> Column:
     return once(words(text), of)
 
 
-def simhash64(grams: Column) -> Column:
-    """TXT-07: bit i is set where more shingles' hashes have it than not; from the first 8 bytes of MD5."""
-    hashes = F.transform(grams, lambda g: F.conv(F.substring(F.md5(g), 1, 16), 16, -10).cast("long"))
+def majority(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each list flat[offsets[k]:offsets[k + 1]] the integer whose bits most of it have; 0 for an empty list."""
+    out = np.zeros(len(offsets) - 1, np.int64)
+    sizes = np.diff(offsets)
+    some = np.flatnonzero(sizes)
+    for part in np.array_split(some, max(1, int(sizes.sum()) >> 18)):  # some megabytes of bits at a time
+        if len(part):
+            own = flat[offsets[part[0]] : offsets[part[-1] + 1]]
+            bits = np.unpackbits(own.astype(">i8").view(np.uint8).reshape(-1, 8), axis=1)
+            more = np.add.reduceat(bits, offsets[part] - offsets[part[0]], axis=0, dtype=np.int64) * 2 > sizes[part][:, None]
+            out[part] = np.packbits(more, axis=1).view(">i8").ravel()
+    return out
 
-    def has(i: int):
-        return lambda x: F.getbit(x, F.lit(i)) == 1
 
-    def of(h: Column) -> Column:
-        out = F.lit(0).cast("long")
-        for i in range(64):
-            count = F.size(F.filter(h, has(i)))
-            out = out.bitwiseOR(F.when(count * 2 > F.size(h), F.expr(f"shiftleft(1L, {i})")).otherwise(F.lit(0).cast("long")))
-        return out
+def with_simhash64(df: DataFrame, grams: Column, name: str = "simhash") -> DataFrame:
+    """TXT-07: the rows with a SimHash of their shingles, whose bit i is set where more hashes have it than not.
 
-    return once(hashes, of)
+    Hashes are the first 8 bytes of MD5, taken by Spark; bits are counted in Arrow batches.
+    """
+    hashes = F.transform(grams, lambda g: F.conv(F.substring(F.md5(g), 1, 16), 16, -10).cast("long"))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields]
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(batch.num_columns - 1)
+            made = pa.array(majority(lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pa.compute.list_value_length(lists).to_numpy())]).astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], names=batch.schema.names)
 
-def token_set(text: Column) -> Column:
-    """TXT-12: distinct lower-case tokens of two characters or more."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"[ \n]+"), lambda w: F.length(w) > 1))
+    return df.withColumn(name, hashes).mapInArrow(count, ", ".join([*fields, f"`{name}` long"]))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -75,8 +107,8 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def numbers(text: Column) -> Column:
-    """TXT-15: distinct numbers in text order of characters."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"[0-9]+(?:[.,][0-9]+)*"), F.lit(0))))
+    """TXT-15: distinct numbers as strings in order, digits of any script."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), *DIGITS), F.lit(r"[0-9]+(?:[.,][0-9]+)*"), F.lit(0))))
 
 
 def lineage_key(url: Column) -> Column:
@@ -85,8 +117,8 @@ def lineage_key(url: Column) -> Column:
 
 
 def slug(text: Column) -> Column:
-    """TXT-60: runs of other characters as one dash, 60 characters at most."""
-    return F.substring(F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-|-$", ""), 1, 60)
+    """TXT-60: runs of what is no letter, digit or underscore as one dash, 60 characters at most."""
+    return F.substring(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+", "-"), "^-|-$", ""), 1, 60)
 
 
 def bucket_15m(ts: Column) -> Column:

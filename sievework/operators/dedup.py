@@ -1,27 +1,51 @@
-"""Near duplicates by SimHash, joined on bands instead of all pairs."""
+"""Near duplicates by SimHash, joined on blocks of bits instead of all pairs."""
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions import text as T
 
-#: Two hashes differing in six bits at most agree in one of seven bands.
-BANDS = ((0, 9), (9, 9), (18, 9), (27, 9), (36, 9), (45, 9), (54, 10))
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores, where a small table has fewer files than there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def with_simhash(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", T.simhash64(T.shingles(T.normalized_for_hash(F.coalesce("text", F.lit(""))))).alias("simhash"))
+    return T.with_simhash64(spread(docs.select("doc_id", "text")).select("doc_id", T.normalized_for_hash(F.col("text")).alias("norm")), T.shingles(F.col("norm"))).drop("norm")
+
+
+def block_count(nodes: int, most: int = 6) -> int:
+    """Blocks of a hash, of which all but ``most`` agree in any near pair: so many that a key holds few nodes."""
+    blocks = most + 2
+    while blocks < 2 * most and 1 << (64 * (blocks - most) // blocks) < nodes:
+        blocks += 1
+    return blocks
 
 
 def near_pairs(hashed: DataFrame, most: int = 6) -> DataFrame:
-    """Pairs of different hashes within the distance, each with its smallest ids; equal hashes are one node."""
+    """Pairs of different hashes within the distance, each with its smallest ids; equal hashes are one node.
+
+    Hashes that differ in ``most`` bits agree in all but ``most`` of some blocks, so nodes meet on each choice of
+    the others.  More nodes get more blocks: keys grow longer with the table, so buckets stay small.
+    """
     nodes = hashed.groupBy("simhash").agg(F.min("doc_id").alias("doc_id"))
-    keys = F.array(*[F.struct(F.lit(k).alias("band"), F.expr(f"shiftrightunsigned(simhash, {at}) & {(1 << size) - 1}L").alias("key")) for k, (at, size) in enumerate(BANDS)])
-    banded = nodes.select("doc_id", "simhash", F.explode(keys).alias("k")).select("doc_id", "simhash", "k.*")
-    a, b = banded.alias("a"), banded.alias("b")
-    on = (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.doc_id") < F.col("b.doc_id"))
+    blocks = block_count(nodes.count(), most)
+    edges = [64 * k // blocks for k in range(blocks + 1)]
+    masks = [((1 << (b - a)) - 1) << a for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    keys = []
+    for k, chosen in enumerate(combinations(masks, blocks - most)):
+        mask = sum(chosen)
+        mask -= (mask >> 63) << 64
+        keys.append(F.struct(F.lit(k).alias("choice"), F.col("simhash").bitwiseAND(F.lit(mask)).alias("key")))
+    met = nodes.select("doc_id", "simhash", F.explode(F.array(*keys)).alias("k")).select("doc_id", "simhash", "k.*")
+    a, b = met.alias("a"), met.alias("b")
+    on = (F.col("a.choice") == F.col("b.choice")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.doc_id") < F.col("b.doc_id"))
     distance = F.bit_count(F.col("a.simhash").bitwiseXOR(F.col("b.simhash")))
     return a.join(b, on).where(distance <= most).select(F.col("a.doc_id").alias("doc_a"), F.col("b.doc_id").alias("doc_b"), distance.cast("int").alias("distance")).distinct()
 
@@ -32,6 +56,48 @@ def near_documents(hashed: DataFrame, most: int = 6) -> DataFrame:
     All pairs of documents within the distance follow from these rows: any two of one class, and any
     member of one class with any of another that a pair links.
     """
+    hashed = hashed.persist()  # two integers a row, used by each step
     least = hashed.groupBy("simhash").agg(F.min("doc_id").alias("doc_a"))
     members = hashed.join(least, "simhash").where("doc_id > doc_a").select("doc_a", F.col("doc_id").alias("doc_b"), F.lit(0).alias("distance")).distinct()
     return near_pairs(hashed, most).unionByName(members)
+
+
+def fingerprints(items: DataFrame, item_id: str, url: str, title: str, text: str) -> DataFrame:
+    """The four keys of an item: of its address, its text, its title, and its SimHash; an empty key is null."""
+    from sievework.functions.rules import canonical_url
+
+    canonical, name = canonical_url(F.col(url)), T.normalized_title(F.col(title))
+    keyed = spread(items.select(item_id, url, title, text)).select(
+        F.col(item_id).alias("item_id"),
+        F.when(canonical != "", F.sha2(canonical, 256)).alias("url_key"),
+        T.content_hash(F.col(text)).alias("content_key"),
+        F.when(name != "", F.sha2(name, 256)).alias("title_key"),
+        T.normalized_for_hash(F.col(text)).alias("norm"),
+    )
+    return T.with_simhash64(keyed, T.shingles(F.col("norm"))).drop("norm")
+
+
+def staged_duplicates(prints: DataFrame, most: int = 6) -> DataFrame:
+    """STR-07: item_id, matched_id and stage: an item's first earlier item (by id) by address, text, title or SimHash.
+
+    The first stage that finds one decides.  Each exact stage takes the least id of a key, by a sum before its
+    shuffle; near hashes come from ``near_pairs``.
+    """
+    out = prints.select("item_id", "url_key", "content_key", "title_key", "simhash").persist()  # keys alone, used by each stage
+    found = []
+    for place, (stage, key) in enumerate((("url", "url_key"), ("content_hash", "content_key"), ("title", "title_key"))):
+        least = out.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("item_id").alias("matched_id"))
+        hits = out.join(least, key).where("matched_id < item_id")
+        found.append(hits.select("item_id", F.struct(F.lit(place).alias("place"), F.lit(stage).alias("stage"), "matched_id").alias("hit")))
+    hashed = out.select(F.col("item_id").alias("doc_id"), "simhash")
+    least = hashed.groupBy("simhash").agg(F.min("doc_id").alias("first"))
+    pairs = near_pairs(hashed, most)
+    linked = pairs.select(F.col("doc_b").alias("first"), F.col("doc_a").alias("other")).unionByName(pairs.select(F.col("doc_a").alias("first"), F.col("doc_b").alias("other")))
+    near = linked.unionByName(least.select("first", F.col("first").alias("other"))).groupBy("first").agg(F.min("other").alias("matched_id"))
+    hits = hashed.join(least, "simhash").join(near, "first").where("matched_id < doc_id")
+    found.append(hits.select(F.col("doc_id").alias("item_id"), F.struct(F.lit(3).alias("place"), F.lit("simhash").alias("stage"), "matched_id").alias("hit")))
+    every = found[0]
+    for part in found[1:]:
+        every = every.unionByName(part)
+    first = every.groupBy("item_id").agg(F.min("hit").alias("hit"))
+    return out.select("item_id").join(first, "item_id", "left").select("item_id", "hit.matched_id", F.coalesce("hit.stage", F.lit("new")).alias("stage"))

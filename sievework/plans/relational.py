@@ -25,7 +25,7 @@ SQL: dict[str, str] = {
     "AGG13_diversity_top": "SELECT source, count(*) AS n FROM documents GROUP BY source ORDER BY n DESC, source LIMIT 5",
     "AGG14_share": "SELECT round(CAST(sum(CASE WHEN lang = 'en' THEN 1 ELSE 0 END) AS DOUBLE) / count(*), 6) AS share FROM documents",
     "AGG16_modal": "WITH c AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY source, lang), r AS (SELECT source, lang, row_number() OVER (PARTITION BY source ORDER BY n DESC, lang) AS k FROM c WHERE lang <> 'und') SELECT source, lang FROM r WHERE k = 1",
-    "AGG19_zero_activity": "SELECT c.c_custkey FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY c.c_custkey HAVING count(o.o_orderkey) = 0",
+    "AGG19_zero_activity": "SELECT c.c_custkey FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P' GROUP BY c.c_custkey HAVING count(o.o_orderkey) = 0",
     "AGG20_funnel": "WITH a AS (SELECT c_nationkey, count(*) AS customers FROM customer GROUP BY c_nationkey), b AS (SELECT c.c_nationkey, count(*) AS orders_n FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey GROUP BY c.c_nationkey), s AS (SELECT s_nationkey, count(*) AS suppliers FROM supplier GROUP BY s_nationkey) SELECT n.n_name, coalesce(a.customers, 0) AS customers, coalesce(b.orders_n, 0) AS orders_n, coalesce(s.suppliers, 0) AS suppliers FROM nation n LEFT JOIN a ON a.c_nationkey = n.n_nationkey LEFT JOIN b ON b.c_nationkey = n.n_nationkey LEFT JOIN s ON s.s_nationkey = n.n_nationkey",
     "AGG21_multi_window": "WITH t AS (SELECT max(ts) AS as_of FROM events) SELECT sum(CASE WHEN ts >= as_of - INTERVAL 30 MINUTE THEN 1 ELSE 0 END) AS m30, sum(CASE WHEN ts >= as_of - INTERVAL 1 HOUR THEN 1 ELSE 0 END) AS h1, sum(CASE WHEN ts >= as_of - INTERVAL 3 HOUR THEN 1 ELSE 0 END) AS h3, sum(CASE WHEN ts >= as_of - INTERVAL 6 HOUR THEN 1 ELSE 0 END) AS h6 FROM events CROSS JOIN t",
     "AGG22_any_all": "SELECT o_custkey, bool_or(o_orderstatus = 'P') AS any_partial, bool_and(o_totalprice > 1000) AS all_large FROM orders GROUP BY o_custkey",
@@ -37,9 +37,8 @@ SQL: dict[str, str] = {
     "JOIN16_left_or_distinct": "SELECT DISTINCT o.o_orderkey, o.o_orderdate FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey WHERE o.o_orderstatus = 'P' OR l.l_returnflag = 'R' ORDER BY o.o_orderdate, o.o_orderkey LIMIT 40",
     "JOIN18_recent_semi": "SELECT c.c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderdate >= TIMESTAMP '1997-01-01 00:00:00')",
     "JOIN19_first_only": "WITH r AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events) SELECT user_id, event_id, ts FROM r WHERE k = 1",
-    "JOIN20_anti": "SELECT c.c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)",
+    "JOIN20_anti": "SELECT c.c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P')",
     "JOIN22_anti_labels": "SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
-    "JOIN23_semi_theta": "SELECT e.event_id FROM events e WHERE EXISTS (SELECT 1 FROM events f WHERE f.user_id = e.user_id AND f.event_type = e.event_type AND f.event_id <> e.event_id AND f.ts = e.ts)",
     "JOIN26_scalar_subquery": "SELECT n.n_name, (SELECT count(*) FROM customer c WHERE c.c_nationkey = n.n_nationkey) AS customers FROM nation n",
     "JOIN28_latest_per_key": "SELECT user_id, max_by(event_type, event_id) AS last_type, max(event_id) AS last_id FROM events GROUP BY user_id",
     "JOIN29_band": "WITH k AS (SELECT e.event_id, f.event_id AS near_id, row_number() OVER (PARTITION BY e.event_id ORDER BY f.event_id DESC) AS r FROM events e JOIN events f ON f.user_id = e.user_id AND f.ts < e.ts AND f.ts >= e.ts - INTERVAL 240 MINUTE) SELECT event_id, near_id FROM k WHERE r <= 20",
@@ -50,14 +49,10 @@ SQL: dict[str, str] = {
     "WIN02_revision_number": "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rev_no FROM events",
     "WIN06_rolling_hour": "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS last_hour FROM events",
     "WIN07_recent_candidates": "WITH r AS (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders) SELECT o_custkey, o_orderkey, k FROM r WHERE k <= 5",
-    "SRT01_multi_key": "SELECT o_orderkey, o_orderpriority, row_number() OVER (ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey) AS place FROM orders ORDER BY place LIMIT 100",
+    "SRT01_multi_key": "WITH t AS (SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey LIMIT 100) SELECT o_orderkey, o_orderpriority, row_number() OVER (ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey) AS place FROM t",
     "SRT02_priority_queue": "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderpriority, o_orderkey LIMIT 5",
     "SRT04_top_k": "SELECT user_id, count(*) AS n FROM events GROUP BY user_id ORDER BY n DESC, user_id LIMIT 15",
-    "SRT11_eviction": "WITH r AS (SELECT doc_id, n_chars, sum(n_chars) OVER (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS kept FROM documents) SELECT doc_id FROM r WHERE kept > 1000000",
     "SET03_distinct": "SELECT DISTINCT lang, source FROM documents",
-    "DML01_insert_or_ignore": "SELECT d.doc_id, 'new' AS origin FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) UNION ALL SELECT l.doc_id, 'old' AS origin FROM labels l",
-    "DML02_counter_upsert": "SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS views FROM events GROUP BY event_type, CAST(ts AS DATE)",
-    "DML04_latest_wins": "WITH r AS (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) SELECT user_id, event_type, value FROM r WHERE k = 1",
     "DML10_check_violations": "SELECT sum(CASE WHEN o_orderstatus NOT IN ('F', 'O', 'P') THEN 1 ELSE 0 END) AS bad_status, count(*) - count(DISTINCT o_orderkey) AS duplicate_keys FROM orders",
     "STR04_session_gap": "WITH g AS (SELECT user_id, event_id, ts, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= ts - INTERVAL 180 SECOND THEN 0 ELSE 1 END AS starts FROM events), s AS (SELECT user_id, event_id, ts, sum(starts) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS burst FROM g) SELECT user_id, burst, count(*) AS raw_count, min(ts) AS first_seen, max(ts) AS last_seen FROM s GROUP BY user_id, burst",
     "STR12_change_detection": "WITH c AS (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) SELECT event_id FROM c WHERE before IS NULL OR before <> event_type",
@@ -69,12 +64,8 @@ SQL: dict[str, str] = {
     "STR19_rate_caps": "WITH c AS (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS hour_n, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND CURRENT ROW) AS day_n FROM events) SELECT event_id, CASE WHEN hour_n > 2 OR day_n > 10 THEN 'THROTTLED' ELSE 'SEND' END AS action FROM c",
     "STR20_backoff": "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber >= 5 THEN 'FAILED' ELSE 'RETRY' END AS status, CAST(30 * power(2, l_linenumber - 1) AS BIGINT) AS job_wait, CAST(least(300 * power(2, l_linenumber), 3600) AS BIGINT) AS translation_wait FROM lineitem",
     "STR26_heartbeat": "WITH t AS (SELECT max(ts) AS as_of FROM events), u AS (SELECT user_id, max(ts) AS seen FROM events GROUP BY user_id) SELECT user_id FROM u CROSS JOIN t WHERE seen < as_of - INTERVAL 900 SECOND",
-    "OPS12_main_claim": "SELECT o_custkey, coalesce(min(CASE WHEN o_orderstatus = 'P' THEN o_orderkey END), min(o_orderkey)) AS main FROM orders GROUP BY o_custkey",
-    "OPS13_lifecycle": "SELECT o_custkey, CASE WHEN bool_or(o_orderstatus = 'P') THEN 'CONFLICTING' WHEN bool_or(o_orderstatus = 'F') THEN 'CONFIRMED' ELSE 'PROVISIONAL' END AS lifecycle FROM orders GROUP BY o_custkey",
     "OPS18_field_changes": "WITH b AS (SELECT event_id, event_type, value, lag(event_type) OVER w AS old_type, lag(value) OVER w AS old_value FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT event_id, 'event_type' AS field FROM b WHERE event_type IS DISTINCT FROM old_type UNION ALL SELECT event_id, 'value' AS field FROM b WHERE value IS DISTINCT FROM old_value",
-    "FLT17_auto_publish": "SELECT o_custkey, CASE WHEN bool_or(o_orderstatus = 'P') THEN 'CONFLICTING_CLAIM' WHEN bool_or(o_orderpriority = '1-URGENT' AND o_orderstatus = 'O') THEN 'HIGH_RISK_SINGLE_SOURCE' END AS reason FROM orders GROUP BY o_custkey",
     "FLT13_due_sources": "WITH t AS (SELECT max(ts) AS as_of FROM events), u AS (SELECT user_id, max(ts) AS fetched FROM events WHERE event_type <> 'error' GROUP BY user_id) SELECT c.c_custkey FROM customer c CROSS JOIN t LEFT JOIN u ON u.user_id = c.c_custkey WHERE u.fetched IS NULL OR u.fetched <= t.as_of - INTERVAL 300 SECOND",
-    "OPS01_claim_state": "SELECT user_id, CASE WHEN bool_or(value < 0) THEN 'CONFLICTING' WHEN count(DISTINCT event_type) >= 2 THEN 'CORROBORATED' WHEN max(value) > 90 THEN 'SINGLE_SOURCE' ELSE 'UNVERIFIED' END AS state FROM events GROUP BY user_id",
 }
 
 

@@ -9,7 +9,7 @@ from sievework.functions import text as T
 from sievework.functions.lexicon import EUROPEAN as LEX
 from sievework.operators import claims, dedup
 
-from . import newsroom_queries, relational, text_queries
+from . import newsroom_queries, relational, story_queries, text_queries
 
 FLAGSHIP = "JOIN04_simhash_near_duplicates"
 
@@ -63,7 +63,7 @@ QUERIES: dict = {
     "JOIN04_simhash_near_documents": lambda spark, sf_dir: dedup.near_documents(dedup.with_simhash(_docs(spark, sf_dir))),
     FLAGSHIP: lambda spark, sf_dir: dedup.near_documents(dedup.with_simhash(_docs(spark, sf_dir))),
     "STR07_staged_duplicates": lambda spark, sf_dir: dedup.staged_duplicates(_prints(spark, sf_dir)),
-} | relational.QUERIES | text_queries.QUERIES | newsroom_queries.QUERIES
+} | relational.QUERIES | text_queries.QUERIES | newsroom_queries.QUERIES | story_queries.QUERIES
 _BITS = " + ".join(f"CASE WHEN 2 * sum((h >> {i}) & 1) > count(h) THEN {1 << i if i < 63 else -(1 << 63)}::HUGEINT ELSE 0::HUGEINT END" for i in range(64))
 _SIMHASH = f"SELECT doc_id, ({_BITS})::BIGINT AS simhash FROM (SELECT doc_id, ('0x' || md5(s)[1:16])::UBIGINT AS h FROM (SELECT doc_id, unnest(CASE WHEN len(g) = 0 THEN [NULL] ELSE g END) AS s FROM ({_SHINGLES}))) GROUP BY doc_id"
 _NEAR = f"""
@@ -96,4 +96,4 @@ ORACLES: dict[str, str] = {
     "TXT22_quarter_hour": "SELECT event_id, strftime(ts, '%Y%m%d%H') || (minute(ts) // 15)::VARCHAR AS bucket FROM events",
     "TXT52_lineage": "SELECT page_id, 'dom:' || lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1)) AS lineage FROM pages",
     "TXT60_slug": r"SELECT doc_id, substring(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}_]+', '-', 'g'), '^-|-$', '', 'g'), 1, 60) AS slug FROM documents",
-} | relational.ORACLES | text_queries.ORACLES | newsroom_queries.ORACLES
+} | relational.ORACLES | text_queries.ORACLES | newsroom_queries.ORACLES | story_queries.ORACLES

@@ -87,9 +87,9 @@ def _ranked(sources: DataFrame) -> DataFrame:
     parts = max(1, sources.count() // RANKED)
     order = [F.col("source").isNull(), F.col("source")]  # strings go by their UTF-8 bytes, as code points do
     ranged = written(sources.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "ranged")
-    counts = {r["part"]: r["count"] for r in ranged.groupBy("part").count().collect()}  # one row for RANKED sources
-    before = np.cumsum([0, *[counts.get(k, 0) for k in range(parts)]])[:-1]
-    offset = F.element_at(F.array(*[F.lit(int(n)) for n in before]), F.col("part") + 1)
+    counts = sorted((r["part"], r["count"]) for r in ranged.groupBy("part").count().collect())  # one row for RANKED sources
+    before = np.cumsum([0] + [n for _, n in counts])
+    offset = F.element_at(F.create_map(*[F.lit(int(v)) for (part, _), n in zip(counts, before, strict=False) for v in (part, n)]), F.col("part")) if counts else F.lit(0)
     return ranged.withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1 + offset).drop("part")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, html_text, merkle, mixing, ngram_join, packing, quality, substring_dedup, suffix_dedup, toxicity
+from . import ann, centroids, html_text, merkle, mixing, ngram_join, packing, quality, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,7 @@ QUERIES = {
         suffix_dedup.op8_suffix_dedup,
         ngram_join.op9_ngram_join,
         ann.op10_nearest_neighbours,
+        centroids.op11_centroid_clustering,
     )
 }
 ORACLES = {
@@ -24,4 +25,5 @@ ORACLES = {
     "op4_merkle_fingerprints": merkle.ORACLE,
     "op8_suffix_dedup": suffix_dedup.ORACLE,
     "op9_ngram_join": ngram_join.ORACLE,
+    "op11_centroid_clustering": centroids.ORACLE,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, centroids, html_text, merkle, mixing, ngram_join, packing, quality, substring_dedup, suffix_dedup, toxicity
+from . import ann, centroids, html_text, merkle, mixing, ngram_join, packing, quality, substring_dedup, suffix_dedup, toxicity, warc
 
 QUERIES = {
     f.__name__: f
@@ -18,6 +18,7 @@ QUERIES = {
         ngram_join.op9_ngram_join,
         ann.op10_nearest_neighbours,
         centroids.op11_centroid_clustering,
+        warc.op12_warc,
     )
 }
 ORACLES = {
@@ -26,4 +27,5 @@ ORACLES = {
     "op8_suffix_dedup": suffix_dedup.ORACLE,
     "op9_ngram_join": ngram_join.ORACLE,
     "op11_centroid_clustering": centroids.ORACLE,
+    "op12_warc": warc.ORACLE,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, centroids, html_text, merkle, mixing, ngram_join, packing, quality, substring_dedup, suffix_dedup, toxicity, warc
+from . import ann, centroids, html_text, importance, merkle, mixing, ngram_join, packing, quality, substring_dedup, suffix_dedup, toxicity, warc
 
 QUERIES = {
     f.__name__: f
@@ -19,6 +19,7 @@ QUERIES = {
         ann.op10_nearest_neighbours,
         centroids.op11_centroid_clustering,
         warc.op12_warc,
+        importance.op13_importance_resampling,
     )
 }
 ORACLES = {
@@ -28,4 +29,5 @@ ORACLES = {
     "op9_ngram_join": ngram_join.ORACLE,
     "op11_centroid_clustering": centroids.ORACLE,
     "op12_warc": warc.ORACLE,
+    "op13_importance_resampling": importance.ORACLE,
 }

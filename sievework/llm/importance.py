@@ -35,13 +35,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import from_small_ints, give_back, small_ints, text_chunks
-from .bytehash import U, mix, word_hashes, word_spans
+from .bytehash import U, mix, word_hashes
 from .store import written
 
 BUCKETS = 10_000
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 12 << 20
 #: Text of a shard of the dictionary, about.
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 16 << 20
 SPREAD = 64
 #: Rows ordered in one task, about.
 RANKED = 1_000_000
@@ -62,6 +62,14 @@ def _schema(ddl: str) -> pa.Schema:
     return pa.schema([(n, kinds[k]) for n, k in (c.strip().split(" ") for c in ddl.split(","))])
 
 
+def _listed(strings: pa.LargeBinaryArray) -> list[bytes]:
+    """The strings, none of which holds a line feed."""
+    if not len(strings):
+        return []
+    ended = pc.binary_join_element_wise(strings, pa.scalar(b"", pa.large_binary()), pa.scalar(b"\n", pa.large_binary()))
+    return ended.buffers()[2].to_pybytes().split(b"\n")[: len(strings)]
+
+
 def _squeezed(*parts: bytes) -> bytes:
     head = np.array([len(p) for p in parts], "<u4").tobytes()
     return zstandard.ZstdCompressor(3).compress(head + b"".join(parts))
@@ -86,7 +94,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int,
             if len(text) <= size:
                 yield row, i, text.tobytes(), -1
             else:
-                first, last, _ = word_spans(text, np.array([0, len(text)]), PARTING)
+                first, last, _ = _spans(text, np.array([0, len(text)]))
                 at = 0
                 while at < len(first) or at == 0:
                     to = min(len(first), max(at + 1, int(np.searchsorted(last, first[at] + size, side="right")))) if len(first) else 0
@@ -115,57 +123,72 @@ def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[dict]:
         yield out()
 
 
+def _spans(buf: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of a buffer of texts, and the text of each."""
+    inside = np.zeros(len(buf) + 2, bool)
+    inside[1:-1] = ~PARTING[buf]
+    begins, ends = inside[1:-1] & ~inside[:-2], inside[1:-1] & ~inside[2:]
+    heads = starts[1:-1][(starts[1:-1] > 0) & (starts[1:-1] < len(buf))]  # a word ends where the next text starts
+    begins[heads] |= inside[heads + 1]
+    ends[heads - 1] |= inside[heads]
+    first = np.flatnonzero(begins)
+    return first, np.flatnonzero(ends) + 1, np.repeat(np.arange(len(starts) - 1), np.diff(np.searchsorted(first, starts)))
+
+
 class _Features:
     """The distinct features of a block in order, and the ways between them, places in the text, and shards."""
 
     def __init__(self, block: dict, shards: int):
         buf = np.frombuffer(block["data"], np.uint8)
-        starts = np.concatenate([[0], np.cumsum(block["lens"])])
-        first, last, text = word_spans(buf, starts, PARTING)
-        self.n_texts = len(block["lens"])
-        sizes = np.bincount(text, minlength=self.n_texts)
+        first, last, text = _spans(buf, np.concatenate([[0], np.cumsum(block["lens"])]))
+        sizes = np.bincount(text, minlength=len(block["lens"]))
         own = np.where(block["own"] < 0, sizes, np.minimum(block["own"], sizes))
-        place = np.arange(len(first)) - (np.cumsum(sizes) - sizes)[text]
-        mine = place < own[text]
         self.n_words = own
-        lens = last - first
-        offsets = np.concatenate([[0], np.cumsum(lens)])
-        letters = buf[~PARTING[buf]]
-        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(letters)]).dictionary_encode()
-        order = np.argsort(np.array(words.dictionary.to_pylist(), object), kind="stable") if len(words.dictionary) else np.zeros(0, np.int64)
+        mine = np.ones(len(text), bool)
+        if (own < sizes).any():
+            mine = np.arange(len(first)) - (np.cumsum(sizes) - sizes)[text] < own[text]
+        offsets = np.concatenate([[0], np.cumsum(last - first)]).astype(np.int64)
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(buf[~PARTING[buf]])]).dictionary_encode()
+        order = pc.sort_indices(words.dictionary)
         rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        self.words = np.array(words.dictionary.to_pylist(), object)[order]
-        word = rank[words.indices.to_numpy()] if len(first) else np.zeros(0, np.int64)
-        n = max(1, len(self.words))
-        h = np.zeros(n, np.uint64)
-        h[word] = word_hashes(buf, first, last)
-        follows = lambda k: np.flatnonzero(mine[: max(0, len(text) - k)] & (text[k:] == text[:-k]))
-        at1, at2, at3 = np.flatnonzero(mine), follows(1), follows(2)
+        rank[order.to_numpy()] = np.arange(len(order))
+        known = words.dictionary.take(order)
+        self.words = np.array([*_listed(known), None], object)[:-1]
+        word = rank[words.indices.to_numpy()]
+        bits = len(known).bit_length()
+        below = (1 << bits) - 1
+        edges = np.frombuffer(known.buffers()[1], np.int64)[: len(known) + 1] if len(known) else np.zeros(1, np.int64)
+        h = word_hashes(np.frombuffer(known.buffers()[2] or b"", np.uint8), edges[:-1], edges[1:])
+        at1 = np.flatnonzero(mine)
+        at2 = np.flatnonzero(mine[:-1] & (text[1:] == text[:-1]))
+        at3 = np.flatnonzero(mine[:-2] & (text[2:] == text[:-2]))
         self.at = [text[at1], text[at2], text[at3]]
-        one, inv1, cnt1 = np.unique(word[at1], return_inverse=True, return_counts=True)
-        two, inv2, cnt2 = np.unique(word[at2] * n + word[at2 + 1], return_inverse=True, return_counts=True)
-        pair = inv2[np.searchsorted(at2, at3)] if len(at3) else np.zeros(0, np.int64)
-        three, inv3, cnt3 = np.unique(pair * n + word[at3 + 2], return_inverse=True, return_counts=True) if len(at3) else (np.zeros(0, np.int64),) * 3
-        self.inverse, self.counts = [inv1, inv2, inv3], [cnt1, cnt2, cnt3]
-        self.one, self.first, self.second = one, two // n, two % n
-        self.pair, self.third = three // n, three % n
+        counts = np.bincount(word[at1], minlength=len(known))
+        one = np.flatnonzero(counts)
+        number = np.cumsum(counts > 0) - 1
+        two, inv2, cnt2 = np.unique(word[at2] << bits | word[at2 + 1], return_inverse=True, return_counts=True)
+        third_of = np.zeros(len(word), np.int64)
+        third_of[at2] = inv2
+        three, inv3, cnt3 = np.unique(third_of[at3] << bits | word[at3 + 2], return_inverse=True, return_counts=True)
+        self.inverse, self.counts = [number[word[at1]], inv2, inv3], [counts[one], cnt2, cnt3]
+        self.one, self.first, self.second = one, two >> bits, two & below
+        self.pair, self.third = three >> bits, three & below
+        n = len(two)
         hp = mix(h[self.first] * U(3) + h[self.second])
         home1, home2 = ((x % U(shards)).astype(np.int64) for x in (mix(h[one]), hp))
-        after = np.bincount(self.pair, minlength=len(two))
-        hot = after > max(SPREAD, len(three) // SPREAD)
         home3 = home2[self.pair]
-        spread = hot[self.pair]
-        home3[spread] = ((hp[self.pair[spread]] + mix(h[self.third[spread]])) % U(shards)).astype(np.int64)
-        # pairs in a shard: those at home there, and those whose runs are dealt there, which count 0 there
-        guests = np.unique(home3[spread] * len(two) + self.pair[spread]) if len(two) else np.zeros(0, np.int64)
-        guests = guests[guests // max(1, len(two)) != home2[guests % max(1, len(two))]] if len(guests) else guests
-        key = np.concatenate([home2 * len(two) + np.arange(len(two)), guests])
-        self.pair_keys = np.sort(key)
-        self.order1, self.order3 = np.argsort(home1, kind="stable"), np.argsort(home3, kind="stable")
-        self.run_keys = (home3 * len(two) + self.pair)[self.order3] if len(two) else np.zeros(0, np.int64)
-        self.shard1, self.shard3, self.home2 = home1[self.order1], home3[self.order3], home2
-        self.shards = np.unique(np.concatenate([home1, self.pair_keys // max(1, len(two)), home3]))
+        hot = np.bincount(self.pair, minlength=n) > max(SPREAD, len(three) // SPREAD)
+        guests = np.zeros(0, np.int64)
+        if shards > 1 and hot.any():
+            spread = np.flatnonzero(hot[self.pair])
+            home3[spread] = ((hp[self.pair[spread]] + mix(h[self.third[spread]])) % U(shards)).astype(np.int64)
+            # pairs whose runs are dealt to a shard where they aren't at home: they count 0 there
+            guests = np.unique((home3[spread] * n + self.pair[spread])[home3[spread] != home2[self.pair[spread]]])
+        self.home2, self.pair_keys = home2, np.sort(np.concatenate([home2 * n + np.arange(n), guests]))
+        small = np.uint16 if shards <= 1 << 16 else np.int64  # short numbers are sorted by radix
+        self.order1, self.order3 = (np.argsort(x.astype(small), kind="stable") for x in (home1, home3))
+        self.shard1, self.shard3 = home1[self.order1], home3[self.order3]
+        self.shards = np.unique(np.concatenate([np.unique(self.shard1), np.unique(self.pair_keys // max(1, n)), np.unique(self.shard3)]))
 
     def of(self, shard: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """A shard's words, pairs and runs (as numbers of distinct ones), and which of the pairs are at home there."""
@@ -193,34 +216,43 @@ def _words(raw: bytes) -> pa.LargeBinaryArray:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lens), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(lens)]).astype(np.int64)), pa.py_buffer(buf[buf != 10])])
 
 
-def _strings(raw: bytes) -> tuple[pa.LargeBinaryArray, np.ndarray]:
-    """The features of a message as strings, and their counts."""
-    *texts, c1, runs, c2, thirds, c3 = _opened(raw, 9)
-    one, lead, second, third = map(_words, texts)
-    c1, runs, c2, thirds, c3 = map(from_small_ints, (c1, runs, c2, thirds, c3))
-    gap = pa.scalar(b" ", pa.large_binary())
-    pairs = pc.binary_join_element_wise(lead.take(pa.array(np.repeat(np.arange(len(runs)), runs))), second, gap)
-    longer = pc.binary_join_element_wise(pairs.take(pa.array(np.repeat(np.arange(len(thirds)), thirds))), third, gap)
-    return pa.concat_arrays([one, pairs.filter(pa.array(c2 > 0)), longer]), np.concatenate([c1, c2[c2 > 0], c3])
-
-
 def _dictionary(rows: list[dict], buckets: int) -> list[dict]:
-    """A shard: all blocks' strings merged and counted, each distinct one hashed once; sums by bucket and answers."""
-    found = [_strings(m["data"]) for m in rows]
-    every = pa.concat_arrays([s for s, _ in found]).dictionary_encode()
-    hashed = np.fromiter(map(zlib.crc32, every.dictionary.to_pylist()), np.int64, len(every.dictionary)) % buckets
-    number = every.indices.to_numpy()
-    counts = np.zeros((2, len(hashed)), np.int64)  # of each distinct string, among documents and in the target
-    out, at = [], 0
-    for m, (strings, times) in zip(rows, found, strict=True):
-        mine = number[at : at + len(strings)]
-        at += len(strings)
-        counts[int(m["target"])] += np.bincount(mine, times, minlength=len(hashed)).astype(np.int64)
-        if not m["target"]:
-            out.append({"block": m["block"], "check": m["check"], "shard": m["shard"], "data": _squeezed(hashed[mine].astype("<u4" if buckets > 1 << 16 else "<u2").tobytes()), "sums": None})
+    """A shard: all blocks' strings merged and counted, each distinct one hashed once; sums by bucket and answers.
+
+    Strings are equal if their words are, one by one; the CRC of a longer one goes on from that of the one before.
+    """
+    parts = [_opened(m["data"], 9) for m in rows]
+    texts = [[_words(p[k]) for p in parts] for k in range(4)]
+    c1, repeat, c2, after, c3 = ([from_small_ints(p[k]) for p in parts] for k in range(4, 9))
+    words = pa.concat_arrays([w for t in texts for w in t]).dictionary_encode()
+    number, sizes = words.indices.to_numpy().astype(np.int64), [sum(map(len, t)) for t in texts]
+    one, lead, second, third = np.split(number, np.cumsum(sizes)[:-1])
+    bits = len(words.dictionary).bit_length()
+    below = (1 << bits) - 1
+    lead = np.repeat(lead, np.concatenate(repeat))
+    two, pair = np.unique(lead << bits | second, return_inverse=True)
+    three, run = np.unique(np.repeat(pair, np.concatenate(after)) << bits | third, return_inverse=True)
+    text = _listed(words.dictionary)
+    spaced = np.array([*(b" " + w for w in text), None], object)
+    crc1 = np.fromiter(map(zlib.crc32, text), np.int64, len(text))
+    crc2 = np.fromiter(map(zlib.crc32, spaced[two & below].tolist(), crc1[two >> bits].tolist()), np.int64, len(two))
+    crc3 = np.fromiter(map(zlib.crc32, spaced[three & below].tolist(), crc2[three >> bits].tolist()), np.int64, len(three))
+    hashed = [crc % buckets for crc in (crc1, crc2, crc3)]
+    numbers, times = (one, pair, run), (c1, c2, c3)
     sums = np.zeros((2, buckets), np.int64)
-    for side in (0, 1):
-        np.add.at(sums[side], hashed, counts[side])
+    for mine, t, h in zip(numbers, times, hashed, strict=True):
+        target = np.repeat([m["target"] for m in rows], list(map(len, t)))
+        t = np.concatenate(t)
+        for side in (0, 1):  # of each distinct string, among documents and in the target
+            counts = np.bincount(mine[target == side], t[target == side], minlength=len(h)).astype(np.int64)
+            np.add.at(sums[side], h, counts)
+    cuts = [np.cumsum([0, *map(len, t)]) for t in times]
+    out = []
+    for i, m in enumerate(rows):
+        if not m["target"]:
+            mine = [h[x[c[i] : c[i + 1]][t[i] > 0]] for x, c, t, h in zip(numbers, cuts, times, hashed, strict=True)]
+            data = np.concatenate(mine).astype("<u4" if buckets > 1 << 16 else "<u2")
+            out.append({"block": m["block"], "check": m["check"], "shard": m["shard"], "data": _squeezed(data.tobytes()), "sums": None})
     return [*out, {"block": None, "check": None, "shard": rows[0]["shard"], "data": None, "sums": _squeezed(sums.tobytes())}]
 
 
@@ -259,7 +291,7 @@ def weighted(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, block_b
         return out
 
     sent = docs.mapInArrow(sender(False), _MESSAGE).unionByName(target.mapInArrow(sender(True), _MESSAGE))
-    answers = written(sent.groupBy("shard").applyInArrow(dictionary, _ANSWER), "buckets")
+    answers = written(sent.groupBy("shard").applyInArrow(dictionary, _ANSWER), "buckets", free_shuffles=True)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, buckets), np.int64)

@@ -65,15 +65,27 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+#: Spark's setting by which a query's shuffle files go when it ends, not when the driver next collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str, path: str | None = None, free_shuffles: bool = False) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder: for results of costly Python stages.
 
-    A table with a path of the caller's own is left to the caller, also inside a scope.
+    A table with a path of the caller's own is left to the caller, also inside a scope.  ``free_shuffles``: nothing
+    else reads the shuffles of this plan, which are large.
     """
     spark = df.sparkSession
     if path is None:
         path = new_path(spark, name)
         if _scopes:
             _scopes[-1].append(path)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    if free_shuffles:
+        spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if free_shuffles:
+            spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -13,7 +13,8 @@ Script, style, template and head elements and comments of the markup are never t
 stands in for another (noscript, iframe, textarea).  A head ends at its end tag, or at the first tag or
 text that can't be in one.  Text of math, svg, object, select and media elements is in blocks like others.  Character
 references are decoded, white space inside a block becomes one space, blocks are trimmed and joined by
-newlines in page order.
+newlines in page order.  A page is read once from front to back: attributes by the rules of HTML (a quote counts behind
+an equals sign alone), a tag that never ends is text, and a slash closes nothing but elements of svg and math.
 
 Bound: ``TRAIN_PAGES`` pages, in parts of 200 blocks.  Of a sample with under ``FEW_PAGES`` pages that have
 labelled elements, or none, made-up pages are learned too.  Defined results: a null or empty page gives an empty text, and so does one
@@ -28,6 +29,8 @@ import html
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -44,12 +47,19 @@ HIDDEN, EMBED = 8, 8
 PATH_BITS, WORD_BITS = 11, 12
 RESULT = "page_id long, url string, text string, n_chars long"
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+#: What begins markup; any other ``<`` is text.
+MARKUP = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+#: One attribute: a quote opens a value only behind the equals sign of a name.
+ATTRIBUTE = re.compile(r"[\s/]*+=?[^\s/>=]*+(?:\s*+=\s*+(?:([\"'])|[^\s>]*+))?")
+#: Names of a path that a block keeps at most, the innermost ones.
+MOST_NAMES = 64
 NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 SILENT = frozenset("script style noscript template head title textarea iframe".split())
 #: All that a head can hold; anything else ends it.
 IN_HEAD = frozenset("base link meta title style script noscript template head".split())
 RAW = frozenset("script style noscript template title textarea iframe".split())
+RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
+FOREIGN = ("svg", "math")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img mi mn mo ms mtext mspace mrow mfrac msqrt mroot msup msub msubsup mover munder munderover mstyle mpadded menclose semantics".split())
 BLACK = frozenset("nav header footer aside form menu button dialog".split())
@@ -65,13 +75,46 @@ class Block:
         self.text, self.path, self.linked, self.label = text, path, linked, label
 
 
-def _weak(path: list[str]) -> int:
-    """1 for main text, 0 for other, -1 if the path doesn't say."""
-    names = {n for p in path for n in re.split(r"[^a-z0-9]+", p[1:])} if path else set()
-    tags = {p for p in path if p[0].isalpha()}
-    if tags & BLACK or names & BLACK_NAMES:
-        return 0
-    return 1 if tags & WHITE or names & WHITE_NAMES else -1
+@lru_cache(maxsize=1 << 14)
+def _says(name: str) -> tuple[int, int]:
+    """Whether a tag, class or id speaks against main text, and for it."""
+    parts = set(re.split(r"[^a-z0-9]+", name[1:]))
+    tag = {name} if name[0].isalpha() else set()
+    return int(bool(tag & BLACK or parts & BLACK_NAMES)), int(bool(tag & WHITE or parts & WHITE_NAMES))
+
+
+def tag_end(page: str, at: int) -> int:
+    """Where the tag ends whose attributes begin at a place; -1 if it doesn't.  A quote that nothing closes is a letter."""
+    while True:
+        m = ATTRIBUTE.match(page, at)
+        at = m.end()
+        if m[1]:
+            shut = page.find(m[1], at)
+            if shut < 0:
+                return page.find(">", at) + 1 or -1
+            at = shut + 1
+        elif at >= len(page):
+            return -1
+        elif page[at] == ">":
+            return at + 1
+
+
+def markup(page: str, at: int) -> tuple[int, int, str, str, str] | None:
+    """Start and end of the next markup, and of a tag its slash, name and attributes; None if only text is left.
+
+    What begins a tag and never ends one is text, and so is all behind it.
+    """
+    m = MARKUP.search(page, at)
+    if m is None:
+        return None
+    if m[2]:
+        end = tag_end(page, m.end())
+        return None if end < 0 else (m.start(), end, m[1], m[2].lower(), page[m.end() : end - 1])
+    mark = {"<!--": "-->", "<![CDATA[": "]]>"}.get(m[0], ">")
+    end = page.find(mark, m.start() + 2)
+    if end < 0 and mark == ">":
+        return None
+    return m.start(), len(page) if end < 0 else end + len(mark), "", "", ""
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -82,7 +125,7 @@ def blocks_of(page: str) -> list[Block]:
     open_: dict[str, int] = {}
     parts: list[str] = []
     links = total = 0
-    silent = 0
+    silent = black = white = 0  # open elements that aren't text, and names that speak against main text and for it
 
     def flush() -> None:
         nonlocal links, total
@@ -90,12 +133,12 @@ def blocks_of(page: str) -> list[Block]:
             text = " ".join(html.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                path = tuple(held)
-                out.append(Block(text, path, links / max(1, total), _weak(list(held))))
+                path = tuple(held) if len(held) <= MOST_NAMES else tuple(islice(reversed(held), MOST_NAMES))[::-1]
+                out.append(Block(text, path, links / max(1, total), 0 if black else 1 if white else -1))
         links = total = 0
 
     def pop() -> None:
-        nonlocal silent
+        nonlocal silent, black, white
         tag, names = stack.pop()
         open_[tag] -= 1
         silent -= tag in SILENT
@@ -103,6 +146,7 @@ def blocks_of(page: str) -> list[Block]:
             held[n] -= 1
             if not held[n]:
                 del held[n]
+                black, white = black - _says(n)[0], white - _says(n)[1]
 
     def end_head() -> None:
         while stack[-1][0] != "head":
@@ -111,9 +155,8 @@ def blocks_of(page: str) -> list[Block]:
 
     at, n = 0, len(page)
     while at < n:
-        m = TAG.search(page, at)
-        end = m.start() if m else n
-        piece = page[at:end]
+        m = markup(page, at)
+        piece = page[at : m[0] if m else n]
         if open_.get("head") and piece.strip():
             end_head()
         if piece and not silent:
@@ -122,11 +165,9 @@ def blocks_of(page: str) -> list[Block]:
             links += len(piece) if open_.get("a") else 0
         if not m:
             break
-        at = m.end()
-        close, tag, rest = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        _, at, close, tag, rest = m
         if not tag:
             continue
-        tag = tag.lower()
         if tag not in INLINE:
             flush()
         if close:
@@ -137,7 +178,9 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if open_.get("head") and tag not in IN_HEAD:
             end_head()
-        if tag in VOID or rest.endswith("/"):
+        if tag in VOID:
+            continue
+        if rest.endswith("/") and (tag in FOREIGN or any(map(open_.get, FOREIGN))):  # elsewhere the slash means nothing
             continue
         if tag in ("p", "li", "tr", "td", "th", "option") and stack and stack[-1][0] in ({tag, "p"} | INLINE):
             k = len(stack) - 1
@@ -154,9 +197,12 @@ def blocks_of(page: str) -> list[Block]:
         silent += tag in SILENT
         for v in names:
             held[v] = held.get(v, 0) + 1
+            if held[v] == 1:
+                black, white = black + _says(v)[0], white + _says(v)[1]
         if tag in RAW:
-            shut = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = shut.end() if shut else n
+            shut = RAW_END[tag].search(page, at)
+            end = tag_end(page, shut.end()) if shut else -1
+            at = n if end < 0 else end
             pop()
     flush()
     return out

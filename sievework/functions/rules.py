@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import claims as C
 from .lexicon import PERSIAN, Lexicon
-from .text import ARABIC_LETTERS, normalized_for_hash, once
+from .text import ARABIC_LETTERS, folded, nfkc, once
 
 # Fixed values.
 TRACKING = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "ref", "ref_src", "igshid", "si", "mibextid"]
@@ -95,7 +95,11 @@ def language_content(text: Column) -> Column:
 
 def language_scores(text: Column, lex: Lexicon = PERSIAN) -> tuple[Column, Column]:
     """TXT-25: how many of each list's words occur."""
-    words = F.array_distinct(F.regexp_extract_all(normalized_for_hash(text), F.lit(r"[\p{L}\p{M}]+"), F.lit(0)))
+    return _scores(nfkc(F.coalesce(text, F.lit(""))), lex)
+
+
+def _scores(text: Column, lex: Lexicon) -> tuple[Column, Column]:
+    words = F.array_distinct(F.regexp_extract_all(folded(text), F.lit(r"[\p{L}\p{M}]+"), F.lit(0)))
     near = [w.translate(str.maketrans(*ARABIC_LETTERS)) for w in lex.near_words]
     return F.size(F.array_intersect(words, _strings(lex.home_words))), F.size(F.array_intersect(words, _strings(near)))
 
@@ -104,13 +108,17 @@ def is_home_language(text: Column, lex: Lexicon = PERSIAN, letters: str = "؀-ۿ
     """TXT-26: every sentence with letters has two home words, more of them than near ones, and home letters for half."""
     parts = F.filter(F.split(language_content(text), r"[\n.!?؟]+"), lambda p: p.rlike(r"\p{L}"))
 
-    def good(p: Column) -> Column:
-        home, near = language_scores(p, lex)
+    # sentences get their compatibility form together, as a lambda can't call Python
+    forms = F.split(nfkc(F.array_join(parts, "\x1e")), "\x1e")
+
+    def good(both: Column) -> Column:
+        p = both["raw"]
+        home, near = _scores(both["form"], lex)
         all_ = F.length(F.regexp_replace(p, r"[^\p{L}]", ""))
         own = F.length(F.regexp_replace(F.regexp_replace(p, r"[^\p{L}]", ""), f"[^{letters}]", ""))
         return (home >= 2) & (home > near) & (own * 2 >= all_)
 
-    return (F.size(parts) > 0) & F.forall(parts, good)
+    return (F.size(parts) > 0) & F.forall(F.zip_with(parts, forms, lambda a, b: F.struct(a.alias("raw"), b.alias("form"))), good)
 
 
 def detected_language(text: Column) -> Column:

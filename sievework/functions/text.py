@@ -15,29 +15,43 @@ from pyspark.sql import functions as F
 # Fixed values.
 DIGITS = ("۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩", "01234567890123456789")
 ARABIC_LETTERS = ("يك", "یک")
-DIACRITICS = "[ؐ-ًؚ-ٰٟ]"
+DIACRITICS = "[\u064b-\u065f\u0670]"
 TITLE_MARKS = "[«»\"'()\\[\\]{}\\-.،؛:!؟?…]"
-INVISIBLE = "[​-‏‪-‮⁠﻿]"
+INVISIBLE = "[\u200b-\u200f\u202a-\u202e\u2066-\u2069\ufeff]"
+#: White space of any script.
+SPACES = r"[\s\x0b\x1c-\x1f\x85\p{Z}]+"
 
 
-def normalized_for_hash(text: Column) -> Column:
-    """TXT-02: letters unified, diacritics, invisible marks and tags dropped, spaces collapsed, lower case; null is empty.
-
-    Compatibility forms are left to ``nfkc``, which Spark's functions don't offer, for texts that need it.
-    """
-    x = F.translate(F.coalesce(text, F.lit("")), *ARABIC_LETTERS)
-    x = F.regexp_replace(F.regexp_replace(x, DIACRITICS, ""), INVISIBLE, "")
-    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(x, "<[^>]+>", " "), r"[ \t\n\r\f]+", " ")))
+#: Letters, digits and marks that the compatibility form leaves as they are, whatever stands beside them: ASCII, Latin-1
+#: without its compatibility signs, and the letters and digits of Arabic and Persian.
+SETTLED = r"\x00-\x7f\u00a1-\u00a7\u00a9\u00ab-\u00ae\u00b0\u00b1\u00b6\u00b7\u00bb\u00bf-\u00ff\u060c\u061b\u061f\u0621-\u063a\u0641-\u064a\u0660-\u0669\u067e\u0686\u0698\u06a9\u06af\u06cc\u06f0-\u06f9\u200b-\u200f\u2013\u2014\u2018-\u201e"
 
 
 def nfkc(text: Column) -> Column:
-    """The compatibility form of texts; ASCII texts are returned as they are."""
+    """The compatibility form of texts.
+
+    Spark's functions don't offer it, so texts go to Python in Arrow batches, but only those with a character outside of
+    ``SETTLED``: for others the batch holds a null, and they stay as they are.
+    """
 
     @F.pandas_udf("string")
     def form(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+        return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
-    return form(text)
+    return F.coalesce(form(F.when(text.rlike(f"[^{SETTLED}]"), text)), text)
+
+
+def normalized_for_hash(text: Column) -> Column:
+    """TXT-02: compatibility form, letters unified, diacritics, invisible marks and tags dropped, spaces collapsed, lower
+    case; null is empty."""
+    return folded(nfkc(F.coalesce(text, F.lit(""))))
+
+
+def folded(text: Column) -> Column:
+    """What TXT-02 makes of a text in compatibility form; unlike that form it can stand in a lambda."""
+    x = F.translate(text, *ARABIC_LETTERS)
+    x = F.regexp_replace(F.regexp_replace(x, DIACRITICS, ""), INVISIBLE, "")
+    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(x, "<[^>]+>", " "), SPACES, " ")))
 
 
 def content_hash(text: Column) -> Column:
@@ -46,7 +60,7 @@ def content_hash(text: Column) -> Column:
 
 def normalized_title(text: Column) -> Column:
     """TXT-04: punctuation of titles becomes a space."""
-    return F.trim(F.regexp_replace(F.regexp_replace(normalized_for_hash(text), TITLE_MARKS, " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(normalized_for_hash(text), TITLE_MARKS, " "), SPACES, " "))
 
 
 def once(x: Column, f) -> Column:
@@ -117,8 +131,11 @@ def lineage_key(url: Column) -> Column:
 
 
 def slug(text: Column) -> Column:
-    """TXT-60: runs of what is no letter, digit or underscore as one dash, 60 characters at most."""
-    return F.substring(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+", "-"), "^-|-$", ""), 1, 60)
+    """TXT-60 without its random end: runs of what is no letter, digit or underscore as one dash, none at either end, before
+    and after the cut to 60 characters; ``story`` if nothing is left."""
+    dashed = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}_\u0600-\u06FF]+", "-")
+    cut = F.regexp_replace(F.substring(F.regexp_replace(dashed, "^-+|-+$", ""), 1, 60), "^-+|-+$", "")
+    return F.when(cut == "", F.lit("story")).otherwise(cut)
 
 
 def bucket_15m(ts: Column) -> Column:

@@ -61,7 +61,6 @@ SQL: dict[str, str] = {
     "STR15_crisis_mode": "WITH t AS (SELECT event_id, user_id, ts, sum(CASE WHEN value > 50 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 30 MINUTE PRECEDING AND CURRENT ROW) AS triggers FROM events), m AS (SELECT event_id, ts, max(CASE WHEN triggers >= 2 THEN ts END) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS marked FROM t) SELECT event_id, coalesce(marked >= ts - INTERVAL 60 MINUTE, false) AS crisis FROM m",
     "STR16_reverify_slots": "SELECT DISTINCT user_id, date_trunc('hour', ts) AS hour, CAST(floor(minute(ts) / 5) AS INT) AS slot FROM events",
     "STR18_debounced_edit": "WITH n AS (SELECT user_id, event_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS after FROM events) SELECT user_id, event_id, ts + INTERVAL 120 SECOND AS run_after FROM n WHERE after IS NULL OR after > ts + INTERVAL 120 SECOND",
-    "STR19_rate_caps": "WITH c AS (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS hour_n, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND CURRENT ROW) AS day_n FROM events) SELECT event_id, CASE WHEN hour_n > 2 OR day_n > 10 THEN 'THROTTLED' ELSE 'SEND' END AS action FROM c",
     "STR20_backoff": "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber >= 5 THEN 'FAILED' ELSE 'RETRY' END AS status, CAST(30 * power(2, l_linenumber - 1) AS BIGINT) AS job_wait, CAST(least(300 * power(2, l_linenumber), 3600) AS BIGINT) AS translation_wait FROM lineitem",
     "STR26_heartbeat": "WITH t AS (SELECT max(ts) AS as_of FROM events), u AS (SELECT user_id, max(ts) AS seen FROM events GROUP BY user_id) SELECT user_id FROM u CROSS JOIN t WHERE seen < as_of - INTERVAL 900 SECOND",
     "OPS18_field_changes": "WITH b AS (SELECT event_id, event_type, value, lag(event_type) OVER w AS old_type, lag(value) OVER w AS old_value FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT event_id, 'event_type' AS field FROM b WHERE event_type IS DISTINCT FROM old_type UNION ALL SELECT event_id, 'value' AS field FROM b WHERE value IS DISTINCT FROM old_value",

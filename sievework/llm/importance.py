@@ -39,9 +39,9 @@ from .bytehash import U, mix, word_hashes
 from .store import written
 
 BUCKETS = 10_000
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 #: Text of a shard of the dictionary, about.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 6 << 20
 SPREAD = 64
 #: Rows ordered in one task, about.
 RANKED = 1_000_000
@@ -132,13 +132,13 @@ def _spans(buf: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     begins[heads] |= inside[heads + 1]
     ends[heads - 1] |= inside[heads]
     first = np.flatnonzero(begins)
-    return first, np.flatnonzero(ends) + 1, np.repeat(np.arange(len(starts) - 1), np.diff(np.searchsorted(first, starts)))
+    return first, np.flatnonzero(ends) + 1, np.repeat(np.arange(len(starts) - 1, dtype=np.int32), np.diff(np.searchsorted(first, starts)))
 
 
 class _Features:
     """The distinct features of a block in order, and the ways between them, places in the text, and shards."""
 
-    def __init__(self, block: dict, shards: int):
+    def __init__(self, block: dict, shards: int, places: bool = True):
         buf = np.frombuffer(block["data"], np.uint8)
         first, last, text = _spans(buf, np.concatenate([[0], np.cumsum(block["lens"])]))
         sizes = np.bincount(text, minlength=len(block["lens"]))
@@ -162,22 +162,30 @@ class _Features:
         at1 = np.flatnonzero(mine)
         at2 = np.flatnonzero(mine[:-1] & (text[1:] == text[:-1]))
         at3 = np.flatnonzero(mine[:-2] & (text[2:] == text[:-2]))
-        self.at = [text[at1], text[at2], text[at3]]
         counts = np.bincount(word[at1], minlength=len(known))
         one = np.flatnonzero(counts)
         number = np.cumsum(counts > 0) - 1
         two, inv2, cnt2 = np.unique(word[at2] << bits | word[at2 + 1], return_inverse=True, return_counts=True)
-        third_of = np.zeros(len(word), np.int64)
-        third_of[at2] = inv2
-        three, inv3, cnt3 = np.unique(third_of[at3] << bits | word[at3 + 2], return_inverse=True, return_counts=True)
-        self.inverse, self.counts = [number[word[at1]], inv2, inv3], [counts[one], cnt2, cnt3]
-        self.one, self.first, self.second = one, two >> bits, two & below
-        self.pair, self.third = three >> bits, three & below
+        inv2 = inv2.astype(np.int32)
+        pair_at = np.zeros(len(word), np.int32)
+        pair_at[at2] = inv2
+        key3 = pair_at[at3].astype(np.int64) << bits | word[at3 + 2]
+        if places:
+            self.at = [text[at1], text[at2], text[at3]]
+            three, inv3, cnt3 = np.unique(key3, return_inverse=True, return_counts=True)
+            self.inverse = [number[word[at1]].astype(np.int32), inv2, inv3.astype(np.int32)]
+        else:
+            three, cnt3 = np.unique(key3, return_counts=True)
+        self.counts = [counts[one], cnt2.astype(np.int32), cnt3.astype(np.int32)]
+        del key3, pair_at, word, text, mine, at1, at2, at3, first, last, buf
+        self.one, self.first, self.second = one, (two >> bits).astype(np.int32), (two & below).astype(np.int32)
+        self.pair, self.third = (three >> bits).astype(np.int32), (three & below).astype(np.int32)
+        del three
         n = len(two)
         hp = mix(h[self.first] * U(3) + h[self.second])
         home1, home2 = ((x % U(shards)).astype(np.int64) for x in (mix(h[one]), hp))
         home3 = home2[self.pair]
-        hot = np.bincount(self.pair, minlength=n) > max(SPREAD, len(three) // SPREAD)
+        hot = np.bincount(self.pair, minlength=n) > max(SPREAD, len(self.pair) // SPREAD)
         guests = np.zeros(0, np.int64)
         if shards > 1 and hot.any():
             spread = np.flatnonzero(hot[self.pair])
@@ -229,9 +237,11 @@ def _dictionary(rows: list[dict], buckets: int) -> list[dict]:
     one, lead, second, third = np.split(number, np.cumsum(sizes)[:-1])
     bits = len(words.dictionary).bit_length()
     below = (1 << bits) - 1
+    del number, texts, parts
     lead = np.repeat(lead, np.concatenate(repeat))
     two, pair = np.unique(lead << bits | second, return_inverse=True)
     three, run = np.unique(np.repeat(pair, np.concatenate(after)) << bits | third, return_inverse=True)
+    del lead, second, third
     text = _listed(words.dictionary)
     spaced = np.array([*(b" " + w for w in text), None], object)
     crc1 = np.fromiter(map(zlib.crc32, text), np.int64, len(text))
@@ -278,7 +288,7 @@ def weighted(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, block_b
     def sender(is_target: bool):
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for block in _blocks(batches, block_bytes):
-                f = _Features(block, n)
+                f = _Features(block, n, places=False)
                 for s in f.shards.tolist():
                     yield pa.RecordBatch.from_pylist([{"block": block["block"], "check": block["check"], "shard": s, "target": is_target, "data": f.message(s)}], messages_schema)
             give_back()

@@ -11,14 +11,14 @@ the first k ranges are right after k rounds in any case.
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 from collections import deque
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievework.sources.shared import shared_folder
+
 HOUR, DAY = 3_600_000_000, 86_400_000_000
 #: Posts an hour of provisional and of other stories, posts an hour and a day at most, seconds to a retry.
 PROVISIONAL_HOUR, CONFIRMED_HOUR, MOST_HOUR, MOST_DAY = 6, 12, 12, 120
@@ -61,16 +61,6 @@ class Caps:
         return action, wait
 
 
-def _shared(spark) -> str:
-    """A folder that the driver and executors share: the one in ``spark.checkpoint.dir``, or a local master's own."""
-    there = spark.conf.get("spark.checkpoint.dir", None)
-    if not there:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        there = tempfile.mkdtemp(prefix="sievework-")
-    return f"{there.rstrip('/')}/admission-{uuid.uuid4().hex}"
-
-
 def admitted_posts(requests: DataFrame, key: str, order: str, at: str, story: str, payload: str, provisional: str, per_hour: tuple[int, int] = (PROVISIONAL_HOUR, CONFIRMED_HOUR), most_hour: int = MOST_HOUR, most_day: int = MOST_DAY, range_rows: int = RANGE_ROWS) -> DataFrame:
     """STR-19: order, action and retry_s of each request: SEND, THROTTLED, or EDIT and NOOP of a story that went out before.
 
@@ -82,7 +72,7 @@ def admitted_posts(requests: DataFrame, key: str, order: str, at: str, story: st
     timed = rows.where("key IS NOT NULL AND at IS NOT NULL")
     timed = timed.withColumn("more", F.lead("number").over(Window.partitionBy("key", "story").orderBy("at", "number")).isNotNull())
     parts = max(1, -(-requests.count() // range_rows))
-    path = _shared(spark)
+    path = shared_folder(spark, "admission")
     timed.repartitionByRange(parts, "key", "at", "number").withColumn("part", F.spark_partition_id()).write.parquet(path)
     table = spark.read.parquet(path)
 

@@ -9,7 +9,9 @@ from sievework.functions import text as T
 from sievework.functions.lexicon import EUROPEAN as LEX
 from sievework.operators import claims, stories
 from sievework.plans import text_queries as Q
+from sievework.sources.shared import shared_folder
 from sievework.sources import feeds
+from sievework.streaming import contexts as live
 
 BASE = "https://news.example"
 
@@ -19,9 +21,9 @@ def _docs(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", (F.col("doc_id") % 3).alias("channel"), at.alias("at"))
 
 
-def _turns(spark, sf):
-    """Turns of conversations as items of ten channels; every third is a label."""
-    t = spark.read.parquet(f"{sf}/conversations.parquet")
+def _turns(spark, sf, t=None):
+    """Turns of conversations (or a stream of them) as items of ten channels; every third is a label."""
+    t = spark.read.parquet(f"{sf}/conversations.parquet") if t is None else t
     label = F.concat(F.col("role"), F.lit(" "), F.col("conv_id") % 4, F.lit(":"))
     at = F.timestamp_seconds(F.col("conv_id") * 900 + F.col("turn") * 60 + 1_700_000_000)
     return t.select("conv_id", "turn", F.when(F.col("turn") % 3 == 0, label).otherwise(F.col("text")).alias("text"), (F.col("conv_id") % 10).alias("channel"), at.alias("at"))
@@ -31,6 +33,17 @@ def _contexts(spark, sf):
     return stories.contexts(_turns(spark, sf), "channel", ["at", "conv_id", "turn"], "at", "text", LEX).select("conv_id", "turn", "decision", "reason", "inherited_speaker")
 
 
+def _live(spark, sf):
+    """STR05_contexts from a stream over the same table, whose state is kept by key."""
+    path = f"{sf}/conversations.parquet"
+    turns = _turns(spark, sf, spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 64).parquet(f"{sf}/conversation[s].parquet"))  # a pattern, as a stream's path can't be one file
+    rows = turns.withColumn("item_id", F.col("conv_id") * 1000 + F.col("turn"))
+    there = shared_folder(spark, "live-contexts")
+    live.run_to_end(live.live_contexts(rows, "item_id", "channel", "at", "text", LEX, late="3650 days"), f"{there}/rows", f"{there}/state")
+    out = spark.read.parquet(f"{there}/rows")
+    return out.select(F.expr("item_id DIV 1000").alias("conv_id"), (F.col("item_id") % 1000).alias("turn"), "decision", "reason", "inherited_speaker")
+
+
 def _against(spark, sf):
     turns = claims.with_claims(spark.read.parquet(f"{sf}/conversations.parquet"), "text", lex=LEX)
     return stories.against_existing(turns.withColumn("event", F.col("conv_id") % 20).withColumn("at", F.col("conv_id") * 100 + F.col("turn")), "event", "at").select("conv_id", "turn", "decision", "met")
@@ -85,6 +98,7 @@ QUERIES = {
     "TXT40_structured_claims": _structured,
     "STR03_bursts": lambda spark, sf: stories.bursts(_docs(spark, sf), "doc_id", "channel", "at", "text", lex=LEX),
     "STR05_contexts": _contexts,
+    "STR05_live_contexts": _live,
     "STR10_event_matches": _matched,
     "JOIN30_claims_of_event": _against,
     "OPS02_materiality": _material,

@@ -20,6 +20,7 @@ INCIDENT_BONUS, ATTACH, BAND = 0.25, 0.62, 0.12
 OFFICIAL = ["ارتش", "وزارت", "وزیر", "کاخ سفید", "سخنگو", "فرمانده", "centcom", "idf", "پنتاگون", "شورای امنیت", "آژانس", "دولت", "رئیس‌جمهور", "نخست‌وزیر", "سازمان", "ایرنا", "رسمی", "اضلاعیه", "اطلاعیه"]
 STATUS = ["لغو شد", "لغو", "متوقف", "برقرار", "از سر گرفته", "آزاد شد", "آتش‌بس", "سقوط", "استعفا", "انتقال", "افتاد", "کاهش یافت", "افزایش یافت", "توافق شد", "منعقد"]
 VERBS = (["توافق", "صحبت", "مصاحبه", "تایم"], ["تحریم", "اعمال", "اعلام"])
+LONE_OPENERS = ["عاجل", "فوری", "breaking", "خبر فوری", "در همین حال", "جزئیات بیشتر"]
 CORRECTION = ["تصحیح", "اصلاح می", "تکذیب", "خلاف واقع", "اشتباه", "خطا"]
 
 _LABEL = r"(?s)^([؀-ۿ\w][؀-ۿ\w .'\-]{1,98}?)\s*[:：]\s*(.*)$"
@@ -42,7 +43,8 @@ def prefix_item(text: Column) -> Column:
     opener = F.lit(False)
     for word in CONNECTIVES:
         opener = opener | F.startswith(first, F.lit(word))
-    fragment = (first == "") | first.rlike("[:：]$") | (opener & (F.length(first) <= 60))
+    alone = C.normalized(first).isin(LONE_OPENERS)
+    fragment = (first == "") | first.rlike("[:：]$") | (opener & (F.length(first) <= 60)) | alone
     t = F.trim(F.coalesce(text, F.lit("")))
     return fragment & (F.length(F.trim(F.when(F.contains(t, F.lit("\n")), F.regexp_replace(t, r"(?s)^[^\n]*\n", "")).otherwise(""))) < 10)
 

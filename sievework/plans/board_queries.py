@@ -65,6 +65,14 @@ def _queue(spark, sf):
     return B.enqueue(e.where("job_id < 40"), e.where("job_id >= 40"))
 
 
+def _stalled(spark, sf):
+    """Users as platforms and their events as posts, as of the newest; who is idle for four hours has stalled."""
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    now = e.agg(F.max("ts").alias("now")).first()["now"]
+    posts = e.select(F.col("user_id").cast("string").alias("platform"), F.lit("SENT").alias("status"), F.col("ts").alias("created_at"))
+    return B.stalled(posts, F.lit(now), 240)
+
+
 QUERIES = {
     "JOIN02_any_key": lambda spark, sf: B.candidates(_keyed(spark, sf), ["url_key", "content_key", "title_key"]),
     "JOIN03_recent_candidates": lambda spark, sf: B.recent(N.publications(spark, sf).where("status = 'SENT'"), "platform", [F.desc("created_at"), F.desc("pub_id"), F.desc("remote_id")], 300).select("platform", "place", "pub_id"),
@@ -84,7 +92,7 @@ QUERIES = {
     "OPS27_first_media": _media,
     "DML09_json_set": _drafts,
     "STR22_capacity": lambda spark, sf: N.claims(spark, sf).select("claim_id", B.capacity((F.col("event_id") % 20) / 20.0, F.col("claim_id") % 2 == 0, F.col("claim_id") % 100).alias("action")),
-    "STR25_stalled": lambda spark, sf: B.stalled(N.publications(spark, sf), F.lit("2000-01-01").cast("timestamp")),
+    "STR25_stalled": _stalled,
     "STR27_requeued": lambda spark, sf: B.requeued(N.publications(spark, sf).select("pub_id", F.when(F.col("status") == "PENDING", "RUNNING").otherwise(F.col("status")).alias("status"))),
 }
 
@@ -116,6 +124,6 @@ SELECT event_id, count(DISTINCT x)::INT AS n_words FROM (SELECT event_id, unnest
     "OPS27_first_media": "WITH f AS (SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) <= 5) SELECT o_custkey AS event_id, 'm' || (o_orderkey % 3) AS ref FROM f UNION SELECT o_custkey, 'n' || (o_orderkey % 2) FROM f",
     "DML09_json_set": "SELECT event_id, 'm' || (event_id % 3) AS media, json_extract_string(props, '$.k') AS k FROM events",
     "STR22_capacity": "SELECT o_orderkey AS claim_id, CASE WHEN o_custkey % 20 < 18 AND o_orderkey % 2 = 0 AND o_orderkey % 100 < 75 THEN 'DEFER' ELSE 'PASS' END AS action FROM orders",
-    "STR25_stalled": f"SELECT platform, floor(epoch(TIMESTAMP '2000-01-01' - max(created_at)) / 60)::BIGINT AS idle_minutes, epoch(TIMESTAMP '2000-01-01' - max(created_at)) / 60 >= 61 AS stalled FROM {_PUB} WHERE status = 'SENT' GROUP BY platform",
+    "STR25_stalled": "WITH t AS (SELECT max(floor(epoch(ts))) AS now FROM events), l AS (SELECT user_id::VARCHAR AS platform, max(floor(epoch(ts))) AS last FROM events GROUP BY 1) SELECT platform, floor((now - last) / 60)::BIGINT AS idle_minutes, floor((now - last) / 60) > 240 AS stalled FROM l, t",
     "STR27_requeued": f"SELECT pub_id, status FROM {_PUB}",
 }

@@ -88,8 +88,7 @@ def _deadlines(spark, sf):
 def _priorities(spark, sf):
     p = N.publications(spark, sf)
     tier = F.concat(F.lit("P"), (F.col("story_id") % 4).cast("string"))
-    rows = p.where(F.col("status") == "PENDING").select("pub_id", L.send_priority(F.col("pub_id") % 5 == 0, tier).alias("priority"))
-    return rows.orderBy(F.desc("priority"), "pub_id").limit(50)
+    return p.where(F.col("status") == "PENDING").select("pub_id", L.send_priority(F.col("pub_id") % 5 == 0, tier).alias("priority"))
 
 
 def _numeric(spark, sf):
@@ -175,7 +174,7 @@ b AS (SELECT user_id, event_type, max(event_id) AS event_id FROM events WHERE ev
 SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.event_type, b.event_type) AS event_type, coalesce(b.event_id, a.event_id) AS event_id, CASE WHEN b.event_id IS NULL THEN a.value ELSE -1.0 END AS value FROM a FULL JOIN b ON a.user_id = b.user_id AND a.event_type = b.event_type""",
     "DML06_optimistic_update": "SELECT o_orderkey AS id, o_custkey % 3 + CASE WHEN o_orderkey % 2 = 0 AND o_custkey % 3 = 1 THEN 1 ELSE 0 END AS version, CASE WHEN o_orderkey % 2 = 0 AND o_custkey % 3 = 1 THEN 'X' ELSE o_orderstatus END AS status FROM orders",
     "DML07_unexpired": "SELECT o_orderkey FROM orders WHERE o_orderkey % 10 = 0 OR o_orderdate > TIMESTAMP '1997-01-01 00:00:00'",
-    "SRT03_send_priority": f"SELECT pub_id, (CASE WHEN pub_id % 5 = 0 THEN 100 ELSE 60 END + [10, 6, 3, 0][story_id % 4 + 1])::INT AS priority FROM {_PUB} WHERE status = 'PENDING' ORDER BY priority DESC, pub_id LIMIT 50",
+    "SRT03_send_priority": f"SELECT pub_id, (CASE WHEN pub_id % 5 = 0 THEN 100 ELSE 60 END + [10, 6, 3, 0][story_id % 4 + 1])::INT AS priority FROM {_PUB} WHERE status = 'PENDING'",
     "SRT10_numeric_ids": f"SELECT pub_id, r AS remote_id FROM (SELECT pub_id, CASE WHEN pub_id % 9 = 0 THEN 'x' ELSE remote_id END AS r FROM {_PUB}) ORDER BY coalesce(try_cast(r AS BIGINT), 0) DESC, pub_id LIMIT 30",
     "SRT11_eviction": "SELECT doc_id FROM (SELECT doc_id, sum(n_chars) OVER (ORDER BY doc_id DESC) AS upto FROM documents) WHERE upto > 1000000",
     "AGG12_first_post_shares": f"WITH f AS (SELECT platform FROM {_PUB} WHERE status = 'SENT' QUALIFY row_number() OVER (PARTITION BY story_id ORDER BY pub_id, platform) = 1) SELECT platform, count(*) AS n, round(count(*)::DOUBLE / (SELECT count(*) FROM f), 6) AS share FROM f GROUP BY platform",

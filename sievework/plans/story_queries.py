@@ -78,18 +78,17 @@ def _structured(spark, sf):
 def _story(make):
     def run(spark, sf):
         first = F.substring_index(F.coalesce("text", F.lit("")), "\n", 1)
-        rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", T.slug(first).alias("slug"), first.alias("headline"), F.substring("text", 1, 200).alias("lead"), F.date_format(F.timestamp_seconds(F.col("doc_id") * 60 + 1_700_000_000), "yyyy-MM-dd'T'HH:mm:ss").alias("published"))
+        rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", T.slug(first).alias("slug"), first.alias("headline"), F.coalesce(F.get(F.split(F.coalesce("text", F.lit("")), "\n"), 1), F.lit("")).alias("lead"), F.date_format(F.timestamp_seconds(F.col("doc_id") * 60 + 1_700_000_000), "yyyy-MM-dd'T'HH:mm:ss").alias("published"))
         return rows.select("doc_id", make())
 
     return run
 
 
 def _heads(spark, sf):
-    """Pages behind a head that links feeds and names a title, in either order of attributes."""
-    k = F.col("page_id")
-    link = F.when(k % 2 == 0, F.concat(F.lit('<link rel="alternate" type="application/rss+xml" href="/f'), k, F.lit('"><link rel="icon" href="/i">'))).otherwise("")
-    meta = F.when(k % 3 == 0, F.concat(F.lit('<meta property="og:title" content="T'), k, F.lit('">'))).when(k % 3 == 1, F.concat(F.lit('<meta content="U'), k, F.lit('" property="og:title">'))).otherwise("")
-    html = F.concat(link, meta, F.coalesce("html", F.lit("")))
+    """Pages whose links are feeds they offer, and whose titles are properties, in either order of attributes."""
+    html = F.regexp_replace(F.coalesce("html", F.lit("")), '<a href="', '<link rel="alternate" type="application/rss+xml" href="')
+    one, two = '<meta property="og:title" content="$1">', '<meta content="$1" property="og:title">'
+    html = F.when(F.col("page_id") % 2 == 0, F.regexp_replace(html, "<title>([^<]*)</title>", one)).otherwise(F.regexp_replace(html, "<title>([^<]*)</title>", two))
     return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", F.array_join(feeds.linked_feeds(html), "|").alias("feeds"), feeds.open_graph(html, "title").alias("title"))
 
 
@@ -109,9 +108,10 @@ QUERIES = {
 }
 
 _ESC = "replace(replace(replace(replace(replace(X, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
-_SLUG = rf"substring(regexp_replace(regexp_replace(lower({Q._FIRST}), '[^\p{{L}}\p{{N}}_]+', '-', 'g'), '^-|-$', '', 'g'), 1, 60)"
+_CUT = rf"trim(substring(trim(regexp_replace({Q._FIRST}, '[^\p{{L}}\p{{N}}_\x{{0600}}-\x{{06FF}}]+', '-', 'g'), '-'), 1, 60), '-')"
+_SLUG = f"(CASE WHEN {_CUT} = '' THEN 'story' ELSE {_CUT} END)"
 _AT = "strftime(make_timestamp((doc_id * 60 + 1700000000) * 1000000), '%Y-%m-%dT%H:%M:%S')"
-_LEAD = f"substring({Q._T}, 1, 200)"
+_LEAD = f"coalesce(string_split({Q._T}, chr(10))[2], '')"
 _SITE = f"'{BASE}/story/' || {_ESC.replace('X', _SLUG)}"
 _NORMED = f"trim({Q._SPACED})"
 _TOKENS = f"list_filter(list_distinct({Q._WORDS}), lambda w: length(w) > 1 AND NOT list_contains({Q._list(LEX.event_stop)}, w))"
@@ -148,5 +148,5 @@ SELECT item_id, decision, CASE WHEN decision <> 'CREATE_NEW' THEN best END AS ev
     "SNK03_sitemap": f"SELECT doc_id, '<url><loc>' || {_SITE} || '</loc>' || CASE WHEN doc_id % 2 = 0 THEN '<lastmod>' || {_AT} || '</lastmod>' ELSE '' END || '</url>' AS entry FROM documents",
     "SNK04_json_ld": f"""SELECT doc_id, sha256('{{"@type":"NewsArticle","@id":"{BASE}/story/' || s || '#article","headline":' || to_json(h) || ',"description":' || to_json(l) || ',"inLanguage":"fa","datePublished":"' || a || '","mainEntityOfPage":{{"@type":"WebPage","@id":"{BASE}/story/' || s || '"}},"url":"{BASE}/story/' || s || '","publisher":{{"@id":"{BASE}/#organization"}},"author":{{"@type":"Organization","@id":"{BASE}/#organization","name":"Desk"}},"isAccessibleForFree":true}}') AS node
 FROM (SELECT doc_id, {_SLUG} AS s, {Q._FIRST} AS h, {_LEAD} AS l, {_AT} AS a FROM documents)""",
-    "SRC12_linked_feeds": "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '/f' || page_id ELSE '' END AS feeds, CASE page_id % 3 WHEN 0 THEN 'T' || page_id WHEN 1 THEN 'U' || page_id END AS title FROM pages",
+    "SRC12_linked_feeds": "SELECT page_id, array_to_string(regexp_extract_all(coalesce(html, ''), '<a href=\"([^\"'']+)', 1), '|') AS feeds, nullif(regexp_extract(coalesce(html, ''), '<title>([^<\"'']*)', 1), '') AS title FROM pages",
 }

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,34 +23,73 @@ def with_simhash(docs: DataFrame) -> DataFrame:
     return T.with_simhash64(spread(docs.select("doc_id", "text")).select("doc_id", T.normalized_for_hash(F.col("text")).alias("norm")), T.shingles(F.col("norm"))).drop("norm")
 
 
-def block_count(nodes: int, most: int = 6) -> int:
-    """Blocks of a hash, of which all but ``most`` agree in any near pair: so many that a key holds few nodes."""
+def block_count(nodes: int, most: int = 6, bucket: int = 256) -> int:
+    """Blocks of a hash, of which all but ``most`` agree in any near pair: so many that a bucket holds ``bucket`` nodes, about.
+
+    Keys a node: 28 up to 16 million nodes, 84 up to 500 million, 210 up to eight thousand million, and no more beyond.
+    """
     blocks = most + 2
-    while blocks < 2 * most and 1 << (64 * (blocks - most) // blocks) < nodes:
+    while blocks < most + 4 and (1 << (64 * (blocks - most) // blocks)) * bucket < nodes:
         blocks += 1
     return blocks
 
 
-def near_pairs(hashed: DataFrame, most: int = 6) -> DataFrame:
+def near_pairs(hashed: DataFrame, most: int = 6, bucket: int = 256) -> DataFrame:
     """Pairs of different hashes within the distance, each with its smallest ids; equal hashes are one node.
 
     Hashes that differ in ``most`` bits agree in all but ``most`` of some blocks, so nodes meet on each choice of
-    the others.  More nodes get more blocks: keys grow longer with the table, so buckets stay small.
+    the others.  Rows are dealt out and sorted by choice and key once; neighbours of one key are compared where they lie,
+    in Arrow batches, and a pair counts under the first choice in which it agrees, so there is no second copy to join, and
+    nothing to make distinct.
     """
     nodes = hashed.groupBy("simhash").agg(F.min("doc_id").alias("doc_id"))
-    blocks = block_count(nodes.count(), most)
+    blocks = block_count(nodes.count(), most, bucket)
     edges = [64 * k // blocks for k in range(blocks + 1)]
-    masks = [((1 << (b - a)) - 1) << a for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    keys = []
-    for k, chosen in enumerate(combinations(masks, blocks - most)):
-        mask = sum(chosen)
-        mask -= (mask >> 63) << 64
-        keys.append(F.struct(F.lit(k).alias("choice"), F.col("simhash").bitwiseAND(F.lit(mask)).alias("key")))
-    met = nodes.select("doc_id", "simhash", F.explode(F.array(*keys)).alias("k")).select("doc_id", "simhash", "k.*")
-    a, b = met.alias("a"), met.alias("b")
-    on = (F.col("a.choice") == F.col("b.choice")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.doc_id") < F.col("b.doc_id"))
-    distance = F.bit_count(F.col("a.simhash").bitwiseXOR(F.col("b.simhash")))
-    return a.join(b, on).where(distance <= most).select(F.col("a.doc_id").alias("doc_a"), F.col("b.doc_id").alias("doc_b"), distance.cast("int").alias("distance")).distinct()
+    parts = [((1 << (b - a)) - 1) << a for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    masks = [sum(chosen) for chosen in combinations(parts, blocks - most)]
+    signed = [m - ((m >> 63) << 64) for m in masks]
+    keys = F.array(*[F.struct(F.lit(k).alias("choice"), F.col("simhash").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(signed)])
+    schema = pa.schema([("doc_a", pa.int64()), ("doc_b", pa.int64()), ("distance", pa.int32())])
+
+    def pairs_of(choice: np.ndarray, key: np.ndarray, ids: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
+        run = np.cumsum(np.concatenate([[0], (choice[1:] != choice[:-1]) | (key[1:] != key[:-1])]))
+        out, apart = [], 1
+        at = np.arange(len(run))
+        while True:
+            at = at[at < len(run) - apart]
+            at = at[run[at] == run[at + apart]]
+            if not len(at):
+                break
+            x = bits[at] ^ bits[at + apart]
+            distance = np.bitwise_count(x)
+            close = np.flatnonzero(distance <= most)
+            x = x[close]
+            first = np.full(len(close), -1)
+            for k, m in enumerate(masks):
+                first[(first < 0) & (x & np.uint64(m) == 0)] = k
+            close = close[first == choice[at[close]]]
+            out.append((ids[at[close]], ids[at[close] + apart], distance[close].astype(np.int32)))
+            apart += 1
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            rows = rows if held is None else [np.concatenate(p) for p in zip(held, rows, strict=True)]
+            if not len(rows[0]):
+                continue
+            last = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))
+            cut = last[-1] + 1 if len(last) else 0  # the last key may go on in the next batch
+            if cut:
+                yield pairs_of(rows[0][:cut], rows[1][:cut], rows[2][:cut], rows[3][:cut].view(np.uint64))
+            held = [c[cut:] for c in rows]
+        if held is not None and len(held[0]):
+            yield pairs_of(held[0], held[1], held[2], held[3].view(np.uint64))
+
+    met = nodes.select("doc_id", "simhash", F.explode(keys).alias("k")).select("k.choice", "k.key", F.col("doc_id").cast("long").alias("doc_id"), "simhash")
+    return met.repartition("choice", "key").sortWithinPartitions("choice", "key", "doc_id").mapInArrow(compare, "doc_a long, doc_b long, distance int")
 
 
 def near_documents(hashed: DataFrame, most: int = 6) -> DataFrame:

@@ -1,6 +1,7 @@
 """Queries of the reference's operators against DuckDB, and SimHash against a plain version."""
 
 import hashlib
+import random
 
 import duckdb
 import pytest
@@ -69,3 +70,24 @@ def test_title_hash_and_slug_read_the_whole_text(spark, tmp_path):
     assert got[1] == hashlib.sha256(a.encode()).hexdigest() and got[2] == hashlib.sha256(b.encode()).hexdigest()
     slugs = {r["doc_id"]: r["slug"] for r in catalog.QUERIES["TXT60_slug"](spark, str(tmp_path)).collect()}
     assert slugs[3] == "tail-of-it" and slugs[1] == a.replace(" ", "-")[:60].strip("-")
+
+
+def test_near_pairs_of_any_size_come_once(spark):
+    from sievework.operators import dedup
+
+    assert [dedup.block_count(n) for n in (10, 1 << 24, 1 << 25, 1 << 30, 1 << 50)] == [8, 8, 9, 10, 10]
+    rng = random.Random(9)
+    base = [rng.getrandbits(64) for _ in range(12)]
+    hashes = {b: None for b in base}
+    for _ in range(900):  # many near ones, many that share a block
+        h = rng.choice(base)
+        for _ in range(rng.randint(1, 7)):
+            h ^= 1 << rng.randrange(64)
+        hashes[h] = None
+    hashes |= {(0xABCD << 48) | rng.getrandbits(40): None for _ in range(300)}
+    rows = list(enumerate(h - (1 << 64) if h >> 63 else h for h in hashes))
+    want = sorted((a, b, bin((x ^ y) & (1 << 64) - 1).count("1")) for a, x in rows for b, y in rows if a < b and bin((x ^ y) & (1 << 64) - 1).count("1") <= 6)
+    df = spark.createDataFrame(rows, "doc_id long, simhash long")
+    for bucket in (256, 1e-3, 1e-9):  # eight, nine and ten blocks
+        assert sorted(map(tuple, dedup.near_pairs(df, bucket=bucket).collect())) == want
+    assert dedup.near_pairs(df.where("false")).count() == 0 and len(want) > 1000

@@ -1,31 +1,22 @@
 """Admission of posts under rolling caps, the publication ledger, and the decision of a publish job.
 
 Only posts that were admitted count against a cap, so whether a request goes out depends on all before it: a fold in
-time.  Its state is small (times of the last day's posts, and what was sent of stories that still get requests), so rows
-are cut into ranges of key and time that are folded at once, each from an empty state; a range that begins within a key
-is folded again from the state its predecessor ended with, until no state changes.  Where a channel falls quiet or is
-full the state forgets where it came from, so few ranges are folded more than twice, however many rows a channel has;
-the first k ranges are right after k rounds in any case.
+time (``folds``) whose state is the times of the last day's posts and what was sent of stories that still get requests.
 """
 
 from __future__ import annotations
 
-import json
 from collections import deque
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievework.sources.shared import shared_folder
+from sievework.operators.folds import RANGE_ROWS, folded
 
 HOUR, DAY = 3_600_000_000, 86_400_000_000
 #: Posts an hour of provisional and of other stories, posts an hour and a day at most, seconds to a retry.
 PROVISIONAL_HOUR, CONFIRMED_HOUR, MOST_HOUR, MOST_DAY = 6, 12, 12, 120
 RETRY, RETRY_LEAST, RETRY_MOST = 300, 60, 3600
-#: Rows of a range, about.
-RANGE_ROWS = 500_000
-
 
 class Caps:
     """Rolling caps of one key: who is admitted, and what is remembered of it."""
@@ -36,9 +27,12 @@ class Caps:
         times, sent = state or ([], {})
         self.times, self.sent = deque(times), {s: set(p) for s, p in sent.items()}
 
-    def state(self, at: int) -> list:
-        """What a later request can depend on."""
-        return [[t for t in self.times if t >= at - DAY], {s: sorted(p) for s, p in self.sent.items()}]
+    def state(self) -> list:
+        """What a later request can depend on: times of the last day's posts, and payloads sent of stories that get more requests."""
+        return [list(self.times), {s: sorted(p) for s, p in sorted(self.sent.items())}]
+
+    def step(self, row: dict) -> tuple[int, str, int | None]:
+        return row["number"], *self.decide(row["at"], row["story"], row["payload"], row["provisional"], row["more"])
 
     def decide(self, at: int, story: str, payload: str, provisional: bool, more: bool) -> tuple[str, int | None]:
         """SEND, EDIT or NOOP of a story sent before, or THROTTLED with the seconds to wait; more: whether the story has later requests."""
@@ -67,47 +61,11 @@ def admitted_posts(requests: DataFrame, key: str, order: str, at: str, story: st
     Requests of a key go in order of time and ``order``, a number that no two share.  A post counts an hour and a day after
     its time, both ends included.  Requests without a key or time are INVALID.  A throttled request isn't asked again by itself.
     """
-    spark = requests.sparkSession
     rows = requests.select(F.col(key).cast("string").alias("key"), F.unix_micros(F.col(at).cast("timestamp_ltz")).alias("at"), F.col(order).cast("long").alias("number"), F.coalesce(F.col(story).cast("string"), F.lit("")).alias("story"), F.coalesce(F.col(payload).cast("string"), F.lit("")).alias("payload"), F.coalesce(F.col(provisional), F.lit(False)).alias("provisional"))
     timed = rows.where("key IS NOT NULL AND at IS NOT NULL")
     timed = timed.withColumn("more", F.lead("number").over(Window.partitionBy("key", "story").orderBy("at", "number")).isNotNull())
-    parts = max(1, -(-requests.count() // range_rows))
-    path = shared_folder(spark, "admission")
-    timed.repartitionByRange(parts, "key", "at", "number").withColumn("part", F.spark_partition_id()).write.parquet(path)
-    table = spark.read.parquet(path)
-
-    def folded(known: dict[int, list], ends: bool):
-        def fold(t: pa.Table) -> pa.Table:
-            t = t.sort_by([("key", "ascending"), ("at", "ascending"), ("number", "ascending")])
-            part, now, caps, out = t.column("part")[0].as_py(), None, None, []
-            for key_, at_, number, story_, payload_, prov, more in zip(*(t.column(c).to_pylist() for c in ("key", "at", "number", "story", "payload", "provisional", "more")), strict=True):
-                if key_ != now:
-                    caps = Caps(*per_hour, most_hour, most_day, known.get(part) if now is None else None)
-                    now = key_
-                action, wait = caps.decide(at_, story_, payload_, prov, more)
-                out.append((number, action, wait))
-            if ends:
-                first, last = t.column("key")[0].as_py(), t.column("at")[t.num_rows - 1].as_py()
-                return pa.table({"part": pa.array([part], pa.int32()), "first": [first], "last": [now], "state": [json.dumps(caps.state(last))]})
-            numbers, actions, waits = zip(*out, strict=True)
-            return pa.table({"number": pa.array(numbers, pa.int64()), "action": pa.array(actions), "retry_s": pa.array(waits, pa.int64())})
-
-        return fold
-
-    known: dict[int, list] = {}
-    if parts > 1:
-        found, todo = {}, None
-        while todo is None or todo:
-            some = table if todo is None else table.where(F.col("part").isin(sorted(todo)))
-            for r in some.groupBy("part").applyInArrow(folded(known, True), "part int, first string, last string, state string").collect():  # a row a range
-                found[r["part"]] = r
-            todo, order_ = set(), sorted(found)
-            for before, p in zip(order_, order_[1:], strict=False):
-                state = json.loads(found[before]["state"]) if found[p]["first"] == found[before]["last"] else None
-                if (state or [[], {}]) != (known.get(p) or [[], {}]):
-                    known[p] = state
-                    todo.add(p)
-    done = table.groupBy("part").applyInArrow(folded(known, False), "number long, action string, retry_s long")
+    make = lambda state: Caps(*per_hour, most_hour, most_day, state)
+    done = folded(timed, "key", ["at", "number"], make, "number long, action string, retry_s long", range_rows)
     rest = rows.where("key IS NULL OR at IS NULL").select("number", F.lit("INVALID").alias("action"), F.lit(None).cast("long").alias("retry_s"))
     return done.unionByName(rest).withColumnRenamed("number", order)
 

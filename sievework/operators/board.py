@@ -50,11 +50,26 @@ def recent(rows: DataFrame, by: str, order: list[Column], many: int) -> DataFram
 
 def repeated_headlines(sent: DataFrame, new: DataFrame, least: float = 0.55) -> DataFrame:
     """JOIN-17: new stories whose headline words are alike to those of a sent one of another event that shares an
-    identity; words: array<string>; the identity is the join key, so no story meets all others."""
-    a = new.select("story_id", "event_id", "words", "identity")
-    b = sent.select(F.col("story_id").alias("sent_id"), F.col("event_id").alias("sent_event"), F.col("words").alias("sent_words"), "identity")
-    hit = (F.col("event_id") != F.col("sent_event")) & (F.size("words") > 0) & (F.size("sent_words") > 0) & (jaccard(F.col("words"), F.col("sent_words")) >= least)
-    return a.join(b, "identity").where(hit).groupBy("story_id").agg(F.min("sent_id").alias("sent_id"))
+    identity; words: array<string>.
+
+    Alike headlines share one of their rarest words, as many as ``least`` of the words leave room for.  Those are the join's
+    key, with the identity, so a story meets only such sent ones, whatever an identity has sent.
+    """
+    a = new.select("story_id", "event_id", F.array_distinct("words").alias("words"), "identity").where(F.size("words") > 0)
+    b = sent.select(F.col("story_id").alias("sent_id"), F.col("event_id").alias("sent_event"), F.array_distinct("words").alias("sent_words"), "identity").where(F.size("words") > 0)
+    counts = a.select(F.explode("words").alias("word")).unionByName(b.select(F.explode("sent_words").alias("word"))).groupBy("word").agg(F.count("*").alias("n"))
+
+    def keyed(rows: DataFrame, story: str, words: str) -> DataFrame:
+        each = rows.select(story, "identity", F.explode(words).alias("word")).join(counts, "word")
+        order = F.transform(F.array_sort(F.collect_list(F.struct("n", "word"))), lambda s: s["word"])
+        ordered = each.groupBy(story, "identity").agg(order.alias("ordered"))
+        room = F.size("ordered") - F.ceil(F.size("ordered") * F.lit(least).cast("decimal(4,3)")).cast("int") + 1
+        return ordered.select(story, "identity", F.explode(F.slice("ordered", 1, room)).alias("word"))
+
+    pairs = keyed(a, "story_id", "words").join(keyed(b, "sent_id", "sent_words"), ["identity", "word"]).select("identity", "story_id", "sent_id").distinct()
+    rows = pairs.join(a, ["story_id", "identity"]).join(b, ["sent_id", "identity"])
+    hit = (F.col("event_id") != F.col("sent_event")) & (jaccard(F.col("words"), F.col("sent_words")) >= least)
+    return rows.where(hit).groupBy("story_id").agg(F.min("sent_id").alias("sent_id"))
 
 
 def coverage(sources: DataFrame, links: DataFrame) -> DataFrame:

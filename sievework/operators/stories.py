@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +9,7 @@ from sievework.functions import claims as C
 from sievework.functions import rules as R
 from sievework.functions.lexicon import CONNECTIVES, EMPTY_LABELS, PERSIAN, Lexicon
 from sievework.functions.text import numbers
+from sievework.operators.folds import RANGE_ROWS, folded
 
 # Fixed values.
 HARD_TYPES = ["MILITARY_STRIKE", "LIVE_INCIDENT", "INTERNET_OUTAGE", "MARKET_MOVE"]
@@ -125,45 +125,53 @@ def contexts(items: DataFrame, source: str, order: list[str], time: str, text: s
     return rows.withColumn("decision", decision).select(*items.columns, "decision", F.when(F.col("decision") == "RESET", F.col("_reset")).alias("reason"), F.when(F.col("decision") == "INHERIT", F.col("_context.speaker")).alias("inherited_speaker"))
 
 
-def _group(rows: pd.DataFrame, window: int, scan: int) -> pd.DataFrame:
-    """Groups of one source's items, in order, of a stretch without a gap over the window."""
-    groups: list[dict] = []
-    out = []
-    for r in rows.itertuples():
-        tokens, found = set(r.tokens), None
-        for g in sorted(groups, key=lambda g: (-g["seen"], -g["number"]))[:scan]:
-            switch = g["kind"] in HARD_TYPES and r.kind in HARD_TYPES and g["kind"] != r.kind
-            speakers = g["speaker"] and r.speaker and not (g["speaker"] in r.speaker or r.speaker in g["speaker"])
-            linked = g["kind"] == r.kind or (g["ref"] and g["ref"] == r.ref) or (g["tokens"] & tokens) - set(WEAK)
-            if abs(r.at - g["seen"]) <= window and not r.second and not switch and not speakers and linked:
-                found = g
-                break
-        if found is None:
-            found = {"number": len(groups), "id": r.item_id, "kind": r.kind, "ref": r.ref, "speaker": r.speaker, "tokens": set()}
-            groups.append(found)
-        found["seen"] = r.at
-        found["tokens"] |= tokens
-        found["speaker"] = found["speaker"] or r.speaker
-        out.append(found["id"])
-    return pd.DataFrame({"item_id": rows["item_id"], "burst_id": out})
+class Bursts:
+    """The last groups of one source's items; only these can be joined, and one that has fallen behind never comes back."""
 
+    def __init__(self, window: int, scan: int, state: list | None = None) -> None:
+        self.window, self.scan = window, scan
+        self.number, self.groups = state or [0, []]
 
-def bursts(items: DataFrame, item_id: str, source: str, time: str, text: str, ref: str | None = None, lex: Lexicon = PERSIAN, window: int = 180, scan: int = 5) -> DataFrame:
-    """STR-03: item_id and burst_id (the burst's first item); items without a time are bursts of their own.
+    def state(self) -> list:
+        """Groups numbered anew, as only the order of their numbers matters."""
+        rank = {g["number"]: k for k, g in enumerate(sorted(self.groups, key=lambda g: g["number"]))}
+        return [len(rank), [g | {"number": rank[g["number"]]} for g in self.groups]]
 
-    An item joins the most recent of the last ``scan`` groups of its source that it fits.  No group reaches over a
-    gap longer than the window, so sources are cut there first and each stretch is grouped alone.
+    def step(self, row: dict) -> tuple[int, int]:
+        tokens, found = set(row["tokens"]), None
+        for g in self.groups:
+            switch = g["kind"] in HARD_TYPES and row["kind"] in HARD_TYPES and g["kind"] != row["kind"]
+            speakers = g["speaker"] and row["speaker"] and not (g["speaker"] in row["speaker"] or row["speaker"] in g["speaker"])
+            linked = g["kind"] == row["kind"] or (g["ref"] and g["ref"] == row["ref"]) or (set(g["tokens"]) & tokens) - set(WEAK)
+            if abs(row["at"] - g["seen"]) <= self.window and not row["second"] and not switch and not speakers and linked:
+                found = g
+                break
+        if found is None:
+            found = {"number": self.number, "id": row["item_id"], "kind": row["kind"], "ref": row["ref"], "speaker": row["speaker"], "tokens": []}
+            self.number += 1
+            self.groups.append(found)
+        found["seen"] = row["at"]
+        found["tokens"] = sorted(set(found["tokens"]) | tokens)
+        found["speaker"] = found["speaker"] or row["speaker"]
+        live = [g for g in self.groups if row["at"] - g["seen"] <= self.window]
+        self.groups = sorted(live, key=lambda g: (-g["seen"], -g["number"]))[: self.scan]
+        return row["item_id"], found["id"]
+
+
+def bursts(items: DataFrame, item_id: str, source: str, time: str, text: str, ref: str | None = None, lex: Lexicon = PERSIAN, window: int = 180, scan: int = 5, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """STR-03: item_id and burst_id (the burst's first item); items without a time or source are bursts of their own.
+
+    An item joins the most recent of the last ``scan`` groups of its source that it fits: a fold in time (``folds``) whose state
+    is those groups, so a source that never falls quiet is cut like any other.
     """
     speaker = F.coalesce(C.normalized(explicit_speaker(F.col(text))), F.lit(""))
     rows = items.select(
-        F.col(item_id).cast("long").alias("item_id"), F.col(source).alias("source"), F.unix_timestamp(time).alias("at"), R.event_type(F.col(text), lex).alias("kind"),
+        F.col(item_id).cast("long").alias("item_id"), F.col(source).cast("string").alias("source"), F.unix_timestamp(time).alias("at"), R.event_type(F.col(text), lex).alias("kind"),
         (F.coalesce(F.col(ref), F.lit("")) if ref else F.lit("")).alias("ref"), speaker.alias("speaker"), R.event_tokens(F.col(text), lex).alias("tokens"), R.second_occurrence(F.col(text), lex).alias("second"),
     )
-    order = Window.partitionBy("source").orderBy("at", "item_id")
-    timed = rows.where(F.col("at").isNotNull()).withColumn("_gap", F.coalesce(F.col("at") - F.lag("at").over(order), F.lit(1 << 40)) > window)
-    timed = timed.withColumn("stretch", F.sum(F.col("_gap").cast("long")).over(order)).drop("_gap")
-    grouped = timed.groupBy("source", "stretch").applyInPandas(lambda p: _group(p.sort_values(["at", "item_id"]), window, scan), "item_id long, burst_id long")
-    return grouped.unionByName(rows.where(F.col("at").isNull()).select("item_id", F.col("item_id").alias("burst_id")))
+    known = F.col("at").isNotNull() & F.col("source").isNotNull()
+    grouped = folded(rows.where(known), "source", ["at", "item_id"], lambda state: Bursts(window, scan, state), "item_id long, burst_id long", range_rows)
+    return grouped.unionByName(rows.where(~known).select("item_id", F.col("item_id").alias("burst_id")))
 
 
 def against_existing(df: DataFrame, event: str, order: str, most: int = 50) -> DataFrame:

@@ -176,3 +176,19 @@ def test_eviction_of_one_range_and_of_none(spark):
     df = spark.range(100).select("id", F.lit(10).alias("size"))
     assert sorted(r.id for r in ledger.evict(df, "id", "size", 300).collect()) == list(range(70))
     assert ledger.evict(df.where("false"), "id", "size", 300).count() == 0
+
+
+def test_bursts_of_a_source_that_never_falls_quiet(spark):
+    import random
+    from datetime import datetime, timedelta
+
+    rng, at, rows = random.Random(3), datetime(2024, 1, 1), []
+    texts = ["حمله موشکی به بغداد", "دلار در بازار تهران", "مصاحبه با وزیر", "حمله دوم به پایگاه", "قطعی اینترنت در شیراز", "خبر تازه از شهر", "ترامپ: صلح نزدیک است و ادامه دارد"]
+    for k in range(400):
+        at += timedelta(seconds=rng.choice([0, 5, 20, 60, 100, 170]))
+        rows.append((k, rng.choice("aab"), at if k % 50 else None, rng.choice(texts) + rng.choice(["", " امروز", " نفت", " سازمان"])))
+    df = spark.createDataFrame(rows, "id long, source string, at timestamp, text string")
+    whole = sorted(map(tuple, stories.bursts(df, "id", "source", "at", "text").collect()))
+    assert len({b for _, b in whole}) > 20 and len(whole) == 400
+    for ranges in (90, 13):
+        assert sorted(map(tuple, stories.bursts(df, "id", "source", "at", "text", range_rows=ranges).collect())) == whole

@@ -9,7 +9,7 @@ from sievework.functions import text as T
 from sievework.functions.lexicon import EUROPEAN as LEX
 from sievework.operators import claims, dedup
 
-from . import board_queries, claim_queries, gate_queries, newsroom_queries, publishing_queries, registry_queries, relational, storage_queries, story_queries, text_queries
+from . import board_queries, claim_queries, copy_queries, gate_queries, newsroom_queries, publishing_queries, registry_queries, relational, storage_queries, story_queries, text_queries
 
 FLAGSHIP = "JOIN04_simhash_near_duplicates"
 
@@ -63,7 +63,7 @@ QUERIES: dict = {
     "TXT60_slug": _text(lambda t: T.slug(t).alias("slug")),
     FLAGSHIP: lambda spark, sf_dir: dedup.near_documents(dedup.with_simhash(_docs(spark, sf_dir))),
     "STR07_staged_duplicates": lambda spark, sf_dir: dedup.staged_duplicates(_prints(spark, sf_dir)),
-} | relational.QUERIES | text_queries.QUERIES | newsroom_queries.QUERIES | story_queries.QUERIES | board_queries.QUERIES | publishing_queries.QUERIES | storage_queries.QUERIES | gate_queries.QUERIES | claim_queries.QUERIES | registry_queries.QUERIES
+} | relational.QUERIES | text_queries.QUERIES | newsroom_queries.QUERIES | story_queries.QUERIES | board_queries.QUERIES | publishing_queries.QUERIES | storage_queries.QUERIES | gate_queries.QUERIES | claim_queries.QUERIES | registry_queries.QUERIES | copy_queries.QUERIES
 _BITS = " + ".join(f"CASE WHEN 2 * sum((h >> {i}) & 1) > count(h) THEN {1 << i if i < 63 else -(1 << 63)}::HUGEINT ELSE 0::HUGEINT END" for i in range(64))
 _SIMHASH = f"SELECT doc_id, ({_BITS})::BIGINT AS simhash FROM (SELECT doc_id, ('0x' || md5(s)[1:16])::UBIGINT AS h FROM (SELECT doc_id, unnest(CASE WHEN len(g) = 0 THEN [NULL] ELSE g END) AS s FROM ({_SHINGLES}))) GROUP BY doc_id"
 _NEAR = f"""
@@ -95,4 +95,4 @@ ORACLES: dict[str, str] = {
     "TXT22_quarter_hour": "SELECT event_id, strftime(ts, '%Y%m%d%H') || (minute(ts) // 15)::VARCHAR AS bucket FROM events",
     "TXT52_lineage": "SELECT page_id, 'dom:' || lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1)) AS lineage FROM pages",
     "TXT60_slug": r"SELECT doc_id, CASE WHEN cut = '' THEN 'story' ELSE cut END AS slug FROM (SELECT doc_id, trim(substring(trim(regexp_replace(coalesce(text, ''), '[^\p{L}\p{N}_\x{0600}-\x{06FF}]+', '-', 'g'), '-'), 1, 60), '-') AS cut FROM documents) AS s",
-} | relational.ORACLES | text_queries.ORACLES | newsroom_queries.ORACLES | story_queries.ORACLES | board_queries.ORACLES | publishing_queries.ORACLES | storage_queries.oracles(_NORM) | gate_queries.ORACLES | claim_queries.ORACLES | registry_queries.ORACLES
+} | relational.ORACLES | text_queries.ORACLES | newsroom_queries.ORACLES | story_queries.ORACLES | board_queries.ORACLES | publishing_queries.ORACLES | storage_queries.oracles(_NORM) | gate_queries.ORACLES | claim_queries.ORACLES | registry_queries.ORACLES | copy_queries.ORACLES

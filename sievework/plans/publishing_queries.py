@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sievework.operators import admission
+from sievework.functions import text as T
+from sievework.operators import admission, watch
 from sievework.sources import newsroom
 
 #: Caps of the queries: an hour of provisional and of other stories, an hour and a day in all.
@@ -44,7 +45,33 @@ def _ledger(spark, sf_dir):
     return admission.marked(old, marks)
 
 
-QUERIES = {"STR19_rate_caps": _caps, "OPS24_publish_decisions": _decisions, "OPS22_ledger": _ledger}
+def _stories(spark, sf_dir):
+    """Documents as stories of the events they come in tens, with their first line as a headline and the second as a lead."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    k = F.col("doc_id")
+    return d.select(F.expr("doc_id DIV 10").alias("event_id"), F.get(lines, 0).alias("headline"), T.slug(F.get(lines, 0)).alias("slug"), F.coalesce(F.get(lines, 1), F.lit("")).alias("lead"), F.when(k % 3 == 0, "PUBLISHED").when(k % 3 == 1, "CORRECTED").otherwise("DRAFT").alias("status"), F.when(k % 4 == 0, "PROVISIONAL").otherwise("CONFIRMED").alias("lifecycle"), F.timestamp_seconds(k * 20 + 1_700_000_000).alias("created_at"))
+
+
+def _crisis(spark, sf_dir):
+    s = _stories(spark, sf_dir)
+    e = s.select("event_id").distinct().select("event_id", (F.col("event_id") * 7 % 101).alias("importance"), (F.col("event_id") * 13 % 97).alias("velocity"))
+    return watch.crisis_triggers(s, e, F.timestamp_seconds(F.lit(1_700_000_000 + 4000)), ["that", "que", "der"], minutes=60)
+
+
+def _media(spark, sf_dir):
+    """Line items as media of their orders."""
+    k = F.col("l_partkey")
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((F.col("l_orderkey") * 1_000_000 + F.col("l_suppkey") * 10_000 + k).alias("asset_id"), F.col("l_orderkey").alias("story_id"), F.when(F.col("l_returnflag") == "R", "ORIGINAL_MEDIA").when(F.col("l_returnflag") == "A", "SOURCE_REFERENCE").otherwise("BRANDED_FALLBACK").alias("status"), F.when(k % 3 == 0, F.concat(F.lit("f"), k)).alias("file_id"), F.when(k % 4 != 1, F.concat(F.lit("https://m.example/"), k)).otherwise("").alias("url"), F.when(k % 2 == 0, "photo").otherwise("video").alias("kind"))
+    return watch.picked_media(rows)
+
+
+QUERIES = {
+    "AGG15_new_posts": lambda spark, sf: watch.new_posts(newsroom.publications(spark, sf), F.lit("1998-01-01").cast("timestamp")),
+    "AGG26_health": lambda spark, sf: watch.health(_stories(spark, sf), "https://news.example"),
+    "AGG27_crisis_triggers": _crisis,
+    "SRT08_picked_media": _media,
+    "STR19_rate_caps": _caps, "OPS24_publish_decisions": _decisions, "OPS22_ledger": _ledger}
 
 
 def _walk(rows: str) -> str:
@@ -77,4 +104,17 @@ n AS (SELECT story_id, platform, payload_hash, count(*) AS marks, min(us) AS fir
 SELECT coalesce(o.story_id, n.story_id) AS story_id, coalesce(o.platform, n.platform) AS platform, coalesce(o.payload_hash, n.payload_hash) AS payload_hash, coalesce(l.status, 'PENDING') AS status, (CASE WHEN o.story_id IS NULL THEN 0 ELSE 1 END + coalesce(marks, 0))::BIGINT AS attempt,
  coalesce(x.r, CASE WHEN o.story_id IS NOT NULL THEN 'r0' END) AS remote_id, CASE WHEN n.story_id IS NULL THEN 'old' ELSE nullif(l.error, '') END AS error, CASE WHEN o.story_id IS NOT NULL THEN DATE '1990-01-01' ELSE first_at END AS created_at, coalesce(l.us, DATE '1990-01-01') AS updated_at
 FROM o FULL JOIN n ON n.story_id = o.story_id AND n.platform = o.platform AND n.payload_hash = o.payload_hash""",
+    "AGG15_new_posts": """
+WITH p AS (SELECT l_orderkey * 10 + l_linenumber AS pub_id, l_orderkey AS story_id, CASE WHEN l_linestatus = 'O' THEN 'telegram' ELSE 'site' END AS platform, l_shipdate AS d FROM lineitem WHERE l_returnflag = 'N'),
+f AS (SELECT story_id, min({'i': pub_id, 'p': platform, 'd': d}) AS x FROM p GROUP BY story_id) SELECT x.p AS platform, count(*) AS posts FROM f WHERE x.d >= DATE '1998-01-01' GROUP BY 1""",
+    "AGG26_health": r"""
+WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
+SELECT 'published stories' AS check, count(*) AS n, count(*) > 0 AS ok FROM s WHERE doc_id % 3 < 2 UNION ALL SELECT 'public base url', 1, true UNION ALL SELECT 'stories missing slug', 0, true
+UNION ALL SELECT 'stories missing lead', count(*), count(*) = 0 FROM s WHERE coalesce(l[2], '') = '' UNION ALL SELECT 'provisional live', count(*), true FROM s WHERE doc_id % 12 = 0""",
+    "AGG27_crisis_triggers": """
+WITH e AS (SELECT DISTINCT doc_id // 10 AS e FROM documents WHERE doc_id * 20 >= 400 AND (contains(string_split(coalesce(text, ''), chr(10))[1], 'that') OR contains(string_split(coalesce(text, ''), chr(10))[1], 'que') OR contains(string_split(coalesce(text, ''), chr(10))[1], 'der')) AND (doc_id // 10 * 7 % 101 >= 90 OR doc_id // 10 * 13 % 97 >= 90))
+SELECT count(*) AS triggers, count(*) >= 2 AS crisis FROM e""",
+    "SRT08_picked_media": """
+WITH m AS (SELECT l_orderkey AS story_id, l_orderkey * 1000000 + l_suppkey * 10000 + l_partkey AS asset_id, l_returnflag = 'R' AS original, l_partkey % 3 = 0 AS held, l_partkey % 2 = 0 AS photo FROM lineitem WHERE l_returnflag IN ('R', 'A') AND (l_partkey % 3 = 0 OR l_partkey % 4 <> 1))
+SELECT story_id, asset_id FROM (SELECT *, row_number() OVER (PARTITION BY story_id ORDER BY original DESC, held DESC, photo DESC, asset_id DESC) AS k FROM m) AS r WHERE k = 1""",
 }

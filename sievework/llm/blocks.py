@@ -18,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bytehash
 from .store import kept
 
 BLOCK_BYTES = 4 << 20
@@ -55,8 +56,10 @@ def text_chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK_BYTES) -> I
     give_back()
 
 
-def give_back() -> None:
-    """Return memory that the allocators of a reused worker keep from a task that is done."""
+def give_back(forget: bool = True) -> None:
+    """Return memory that the allocators of a reused worker keep from a task (or a group) that is done."""
+    if forget:
+        bytehash.forget()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -157,7 +160,13 @@ def send(blocks: DataFrame, f: Callable[[dict], list[dict]], schema: str, arrow:
 
 def shards(messages: DataFrame, f: Callable[[list[dict]], list[dict]], schema: str, arrow: pa.Schema) -> DataFrame:
     """What each shard answers: f(the messages it got)."""
-    return messages.groupBy("shard").applyInArrow(lambda t: table(f(t.to_pylist()), arrow), schema)
+
+    def go(t: pa.Table) -> pa.Table:
+        out = table(f(t.to_pylist()), arrow)
+        give_back(forget=False)
+        return out
+
+    return messages.groupBy("shard").applyInArrow(go, schema)
 
 
 def answered(blocks: DataFrame, answers: DataFrame, f: Callable[[dict, list[dict]], list[dict] | pa.Table], schema, arrow: pa.Schema) -> DataFrame:
@@ -166,7 +175,9 @@ def answered(blocks: DataFrame, answers: DataFrame, f: Callable[[dict, list[dict
     def go(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = left.to_pylist()
         got = f(rows[0], right.to_pylist()) if rows else []
-        return got if isinstance(got, pa.Table) else table(got, arrow)
+        out = got if isinstance(got, pa.Table) else table(got, arrow)
+        give_back()
+        return out
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(go, schema)
 

@@ -35,19 +35,25 @@ def _table(lane: int) -> np.ndarray:
 
 
 _powers: dict[tuple[int, bool], np.ndarray] = {}
+POWER_STEP = 1 << 18
 
 
 def powers(lane: int, n: int, inverse: bool = False) -> np.ndarray:
-    """The first n powers of a base, or of its inverse modulo 2**64; kept and grown by doubling."""
+    """The first n powers of a base, or of its inverse modulo 2**64; kept until ``forget``, whole steps of them."""
     have = _powers.get((lane, inverse))
     if have is None or len(have) < n:
         base = pow(BASES[lane], -1, 1 << 64) if inverse else BASES[lane]
-        step = np.full(max(1 << 16, 1 << (n - 1).bit_length() if n > 1 else 1), base, np.uint64)
+        step = np.full(-(-max(n, 1) // POWER_STEP) * POWER_STEP, base, np.uint64)
         step[0] = 1
         have = _powers[lane, inverse] = np.multiply.accumulate(step)
     return have[:n]
 
 
+def forget() -> None:
+    """Drop the powers: a reused worker would keep some hundred megabytes of them between tasks."""
+    _powers.clear()
+
+
 def word_spans(buf: np.ndarray, starts: np.ndarray, parting: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words of a buffer of texts, and the text of each; starts: of the texts, and the end."""
     space = parting[buf]

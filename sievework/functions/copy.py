@@ -13,11 +13,11 @@ from .rules import valid_headline
 from .text import once
 
 # Fixed values.
-BOILERPLATE = ["بر پایه گزارش‌های رسیده", "این موارد از منابع تحت پایش راسته", "بررسی منابع نشان می‌دهد", "سامانه راستی‌آزمایی", "مطابق بررسی سیستم", "این اطلاعات تاکنون به‌طور مستقل تأیید نشده است", "تأیید شد", "با ما اخبار جنگی بروز باشید", "چنل های بی سواد"]
+BOILERPLATE = ["بر پایه گزارش‌های رسیده", "این موارد از منابع تحت پایش", "بررسی منابع نشان می‌دهد", "سامانه راستی‌آزمایی", "مطابق بررسی سیستم", "این اطلاعات تاکنون به‌طور مستقل تأیید نشده است", "تأیید شد", "با ما اخبار جنگی بروز باشید", "چنل های بی سواد"]
 READ_MORE = r"(?i)^\s*(?:بیشتر\s+بخوانید|ادامه\s+(?:مطلب|خبر)|جزئیات\s+بیشتر|مطالعه\s+بیشتر|برای\s+مطالعه\s+بیشتر|read\s+more)\s*[:：\-–—]?\s*$"
 SOURCE_LINE = r"(?i)^\s*(?:📖\s*)?(?:منبع|source)\s*[:：]"
 STATUS_ONLY = ["بررسی این موضوع در منابع در دسترس", "تا این لحظه به تأیید مستقل نرسیده است", "پایش ادامه دارد و در صورت تأیید"]
-FOOTER, HANDLE = "راسته؟ |", "🆔 @"
+FOOTER, HANDLE = "؟ |", "🆔 @"
 ICONS = "🟢🔴🟠⚠️❌"
 SENTENCE_ENDS = "؛.!؟?"
 SHORT_LINE, LEAST_HEAD, LEAST_WORDS = 120, 30, 4
@@ -69,13 +69,14 @@ def squashed_lead(text: Column) -> Column:
     return F.coalesce(once(F.split(_strip(F.coalesce(text, F.lit(""))), r"\n\s*\n"), of), F.coalesce(text, F.lit("")))
 
 
-def substantive(text: Column, g: Gates = PERSIAN, letters: str = "؀-ۿ", generic: list[str] = STATUS_ONLY) -> Column:
+def substantive(text: Column, g: Gates = PERSIAN, letters: str = "؀-ۿ", generic: list[str] = STATUS_ONLY, footer: str = FOOTER) -> Column:
     """TXT-48: whether copy without icons, sources, footers and calls to read on still states something.
 
     Not if it is unfit to publish (FLT-01), its headline breaks off, nothing but its status is left, or it has under four words of the home letters.
+    ``footer``: what marks a line with the publisher's own name.
     """
     t = _strip(F.coalesce(text, F.lit("")))
-    lines = F.filter(F.transform(F.split(t, "\n"), _strip), lambda s: ~s.rlike("(?U)" + SOURCE_LINE) & ~F.contains(s, F.lit(FOOTER)) & ~F.startswith(s, F.lit(HANDLE)))
+    lines = F.filter(F.transform(F.split(t, "\n"), _strip), lambda s: ~s.rlike("(?U)" + SOURCE_LINE) & ~F.contains(s, F.lit(footer)) & ~F.startswith(s, F.lit(HANDLE)))
     bare = F.transform(lines, lambda s: F.replace(F.when(s.rlike(f"^[{ICONS}]"), _strip(F.regexp_replace(s, f"^[{ICONS} ]+", ""))).otherwise(s), F.lit("*"), F.lit("")))
     said = F.filter(bare, lambda s: (s != "") & ~s.rlike("(?U)" + READ_MORE))
 

@@ -3,6 +3,9 @@ of evidence, each as joins whose groups stay bounded."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,29 +129,59 @@ def evidence_groups(items: DataFrame, most: int = 5) -> DataFrame:
     return found.withColumn("place", F.row_number().over(Window.partitionBy("event").orderBy("first"))).drop("first")
 
 
-def best_groups(claims: DataFrame, groups: DataFrame) -> DataFrame:
+def _overlaps(claims: pa.Table, groups: pa.Table) -> pa.Table:
+    """claim_id, place, overlap of the group that shares most words with each of the claims, the first of equals."""
+    groups = groups.sort_by("place")
+    mine, theirs = (t[name].combine_chunks() for t, name in ((claims, "mine"), (groups, "theirs")))
+    words = pc.drop_null(pc.unique(theirs.flatten()))
+    held = np.zeros((len(words), len(groups)), np.uint8)
+    place = pc.list_parent_indices(theirs).to_numpy()
+    held[pc.index_in(theirs.flatten().drop_null(), words).to_numpy(zero_copy_only=False), place[theirs.flatten().is_valid().to_numpy(zero_copy_only=False)]] = 1
+    known = pc.index_in(mine.flatten(), words, skip_nulls=True)
+    some = known.is_valid().to_numpy(zero_copy_only=False)
+    known, owner = known.drop_null().to_numpy(zero_copy_only=False), pc.list_parent_indices(mine).to_numpy()[some]
+    start = np.flatnonzero(np.diff(owner, prepend=-1))
+    best, most = np.zeros(len(start), np.int64), np.zeros(len(start), np.int32)
+    step = max(1, (1 << 22) // max(1, len(groups)))  # words at a time
+    at, ends = 0, np.append(start[1:], len(known))
+    while at < len(start):
+        to = max(at + 1, int(np.searchsorted(ends, start[at] + step, "right")))
+        shared = np.add.reduceat(held[known[start[at] : ends[to - 1]]], start[at:to] - start[at], axis=0, dtype=np.int32)
+        best[at:to] = shared.argmax(axis=1)
+        most[at:to] = shared[np.arange(to - at), best[at:to]]
+        at = to
+    return pa.table({"claim_id": claims["claim_id"].take(pa.array(owner[start])), "place": groups["place"].take(pa.array(best)), "overlap": pa.array(most)})
+
+
+def best_groups(claims: DataFrame, groups: DataFrame, most_claims: int = 100_000, most_groups: int = 1000) -> DataFrame:
     """JOIN-34: claim_id, place and overlap of the group (event, place, words) of a claim's event (event, claim_id, words) that shares
     most words with it, the first of equals; no row for a claim that shares none.
 
-    Words are sets.  Claims first meet the groups that hold one of the rarer half of their words.  A group without these can share no more than the
-    other words, so a claim whose best group has more of them all is done; only the others are looked up by every word.
+    Words are sets.  A claim moves once, with its words, to its event's groups, where a table of words by groups counts what they share.  Events of
+    more claims or groups than ``most_claims`` or ``most_groups`` are dealt out in parts of about as many, each of claims against each of groups.
     """
     g = groups.select("event", "place", F.array_distinct("words").alias("theirs"))
-    postings = g.select("event", "place", F.explode("theirs").alias("word"))
     c = claims.select("event", "claim_id", F.array_distinct("words").alias("mine"))
-    spread = c.select("event", "claim_id", F.explode("mine").alias("word")).join(postings.groupBy("event", "word").agg(F.count("*").alias("n")), ["event", "word"])
-    known = spread.groupBy("event", "claim_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "word"))), lambda s: s["word"]).alias("known"))
-    half = F.ceil(F.size("known") / 2).cast("int")
-    known = known.withColumns({"rare": F.slice("known", 1, half), "rest": F.size("known") - half})
-
-    def best(rows: DataFrame, words: str) -> DataFrame:
-        meets = rows.select("event", "claim_id", F.explode(words).alias("word")).join(postings, ["event", "word"]).select("event", "claim_id", "place").distinct()
-        full = meets.join(rows, ["event", "claim_id"]).join(g, ["event", "place"])
-        return full.withColumn("overlap", F.size(F.array_intersect("known", "theirs"))).groupBy("event", "claim_id").agg(F.max(F.struct("overlap", (-F.col("place")).alias("minus"))).alias("best"), F.first("rest").alias("rest"))
-
-    path = shared_folder(c.sparkSession, "best")
-    best(known, "rare").write.parquet(path)
-    one = c.sparkSession.read.parquet(path)
-    done = one.where("best.overlap > rest")
-    two = best(known.join(one.where("best.overlap <= rest").select("event", "claim_id"), ["event", "claim_id"]), "known")
-    return done.unionByName(two).select("claim_id", (-F.col("best.minus")).alias("place"), F.col("best.overlap").alias("overlap"))
+
+    def parts(rows: DataFrame, most: int, name: str) -> DataFrame:
+        return rows.groupBy("event").agg(F.ceil(F.count("*") / most).cast("int").alias(name)).where(F.col(name) > 1)
+
+    wide = parts(c, most_claims, "_of_claims").join(parts(g, most_groups, "_of_groups"), "event", "full")
+
+    def dealt(rows: DataFrame, key: str, own: str, other: str) -> DataFrame:
+        """Each row in its own part, once for each part of the other side."""
+        rows = rows.join(F.broadcast(wide), "event", "left")  # few: events of many claims or groups
+        mine = F.pmod(F.xxhash64(key), F.coalesce(own, F.lit(1))).cast("int").alias(own)
+        return rows.select(*[x for x in rows.columns if x not in (own, other)], mine, F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1)).alias(other))
+
+    kinds = {f.name: f.dataType.simpleString() for f in [*c.schema.fields, *g.schema.fields]}
+    keys = ["event", "_of_claims", "_of_groups"]
+
+    def best(key: tuple, mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        found = _overlaps(mine, theirs) if len(mine) and len(theirs) else None
+        found = found if found is not None else pa.table({"claim_id": mine["claim_id"].slice(0, 0), "place": theirs["place"].slice(0, 0), "overlap": pa.array([], pa.int32())})
+        return found.add_column(0, "event", pa.repeat(key[0], len(found)))
+
+    met_ = dealt(c, "claim_id", "_of_claims", "_of_groups").groupBy(*keys).cogroup(dealt(g, "place", "_of_groups", "_of_claims").groupBy(*keys)).applyInArrow(best, f"event {kinds['event']}, claim_id {kinds['claim_id']}, place {kinds['place']}, overlap int")
+    best_ = F.max(F.struct("overlap", (-F.col("place")).alias("minus"))).alias("best")
+    return met_.groupBy("event", "claim_id").agg(best_).select("claim_id", (-F.col("best.minus")).alias("place"), F.col("best.overlap").alias("overlap"))

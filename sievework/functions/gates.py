@@ -94,13 +94,21 @@ class Gates:
     blockers: list[str] = field(default_factory=lambda: GENERIC_BLOCKERS)
     neighbours: list[str] = field(default_factory=lambda: NEIGHBOURS)
     substance: list[str] = field(default_factory=lambda: SUBSTANCE)
+    #: Whether words, their bounds and spaces in the patterns are those of any script; else letters, digits and spaces of ASCII are.
+    any_script: bool = True
+
+    def pattern(self, of: str, flags: str = "") -> str:
+        """A pattern with its flags; before Java 19 a bound knows all letters whatever the flags, so that of ASCII is spelt out."""
+        if self.any_script:
+            return f"(?U{flags})" + of
+        return f"(?d{flags}{'u' if 'i' in flags else ''})" + of.replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))").replace(r"\s", r"[\t\n\f\r ]")
 
 
 PERSIAN = Gates()
 
 
-def _matches(text: Column, patterns: list[str]) -> Column:
-    return text.rlike("(?U)(?:" + ")|(?:".join(patterns) + ")")
+def _matches(text: Column, patterns: list[str], g: Gates) -> Column:
+    return text.rlike(g.pattern("(?:" + ")|(?:".join(patterns) + ")"))
 
 
 def copy_lines(headline: Column, body: Column) -> Column:
@@ -117,41 +125,41 @@ def unpublishable(headline: Column, body: Column, g: Gates = PERSIAN) -> Column:
     """FLT-01: why copy isn't fit to publish: a notice of an error, words of mixed scripts, an end that dangles, an announcement
     of a programme; null if none."""
     lines = copy_lines(headline, body)
-    notice = F.exists(lines, lambda s: s.rlike("(?Ui)(?:" + ")|(?:".join(g.notices) + ")"))
+    notice = F.exists(lines, lambda s: s.rlike(g.pattern("(?:" + ")|(?:".join(g.notices) + ")", "i")))
     news = F.filter(lines, lambda s: ~F.lit(False) if not g.generic else ~s.rlike("^(?:" + "|".join(g.generic) + ")"))
     return (
         F.when(notice | F.exists(lines, lambda s: s.rlike(g.mixed)), "HOLD_TRANSLATION_QUALITY")
-        .when(F.exists(lines, lambda s: s.rlike("(?U)" + g.dangling) | s.rlike(r"(?:…|\.\.\.)$")), "CONTEXT_INCOMPLETE")
-        .when((F.size(news) > 0) & F.forall(news, lambda s: s.rlike("(?U)" + g.broadcast)), "HOLD_NON_NEWS_CONTENT")
+        .when(F.exists(lines, lambda s: s.rlike(g.pattern(g.dangling)) | s.rlike(r"(?:…|\.\.\.)$")), "CONTEXT_INCOMPLETE")
+        .when((F.size(news) > 0) & F.forall(news, lambda s: s.rlike(g.pattern(g.broadcast))), "HOLD_NON_NEWS_CONTENT")
     )
 
 
 def live_page(headline: Column, body: Column, g: Gates = PERSIAN) -> Column:
     """FLT-03: prose of a live page about itself."""
-    return _matches(gate_form(headline, body), g.live)
+    return _matches(gate_form(headline, body), g.live, g)
 
 
 def abusive(headline: Column, body: Column, g: Gates = PERSIAN) -> Column:
     """FLT-04: abuse, unless there is material substance."""
     t = gate_form(headline, body)
-    return _matches(t, g.abuse) & ~any_of(t, g.lexicon.material)
+    return _matches(t, g.abuse, g) & ~any_of(t, g.lexicon.material)
 
 
 def trivial(headline: Column, body: Column, g: Gates = PERSIAN) -> Column:
     """FLT-05: trivia, unless the first 24 material words show substance."""
     t = gate_form(headline, body)
-    return _matches(t, g.trivia) & ~any_of(t, g.lexicon.material[:24])
+    return _matches(t, g.trivia, g) & ~any_of(t, g.lexicon.material[:24])
 
 
 def ceremonial(headline: Column, body: Column, g: Gates = PERSIAN) -> Column:
     """FLT-06: protocol alone."""
     t = gate_form(headline, body)
-    return _matches(t, g.ceremony) & ~any_of(t, g.lexicon.material)
+    return _matches(t, g.ceremony, g) & ~any_of(t, g.lexicon.material)
 
 
 def anchored(text: Column, g: Gates = PERSIAN) -> Column:
     """Whether a text names a country, a body, something in Latin letters, or quotes."""
-    return any_of(text, g.countries) | any_of(text, g.organisations) | text.rlike("[A-Za-z]{3,}") | text.rlike("[«“\"'].{2,60}[»”\"']")
+    return any_of(text, g.countries) | any_of(text, g.organisations) | text.rlike("[A-Za-z]{3,}") | text.rlike("(?d)[«“\"'].{2,60}[»”\"']")
 
 
 def context_incomplete(headline: Column, body: Column, g: Gates = PERSIAN) -> Column:
@@ -160,9 +168,9 @@ def context_incomplete(headline: Column, body: Column, g: Gates = PERSIAN) -> Co
     "This country" needs a country before it; what comes after is often whom it acts upon.
     """
     h, full = gate_form(headline), gate_form(headline, body)
-    before = F.regexp_extract(h, f"(?Us)^(.*?){g.this_country}", 1)
-    unnamed = h.rlike("(?U)" + g.this_country) & ~any_of(before, g.countries)
-    bare = (h.rlike("(?U)" + g.pronoun) | h.rlike("(?U)" + g.role)) & ~anchored(full, g)
+    before = F.regexp_extract(h, g.pattern(f"^(.*?){g.this_country}", "s"), 1)
+    unnamed = h.rlike(g.pattern(g.this_country)) & ~any_of(before, g.countries)
+    bare = (h.rlike(g.pattern(g.pronoun)) | h.rlike(g.pattern(g.role))) & ~anchored(full, g)
     return (h == "") | unnamed | bare
 
 

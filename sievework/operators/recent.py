@@ -10,12 +10,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions import claims as C
-from sievework.functions.text import jaccard, once
+from sievework.functions.text import once
 from sievework.operators.stories import CONTINUATION_MINUTES
 from sievework.sources.shared import shared_folder
 
 #: Rows of a range that is numbered in one task, about.
 RANGE_ROWS = 500_000
+#: The same of claims, which come with all their words.
+CLAIM_ROWS = 20_000
 
 
 def numbered(rows: DataFrame, order: list[Column], name: str = "place", range_rows: int = RANGE_ROWS) -> DataFrame:
@@ -35,22 +37,23 @@ def numbered(rows: DataFrame, order: list[Column], name: str = "place", range_ro
     return ranged.join(F.broadcast(shifts), "part").withColumn(name, place.cast("long")).drop("_before")
 
 
-def _content(claim: Column) -> Column:
-    return F.array_except(claim["tokens"], F.array(*[F.lit(w) for w in C.LIGHT_WORDS]))
-
-
 def met(new: Column, old: Column) -> Column:
     """Why a claim joins the event of an earlier one: the same, in conflict about the same, or doubtful but alike; else null."""
-    close = (jaccard(new["tokens"], old["tokens"]) >= 0.40) & (F.size(F.array_intersect(_content(new), _content(old))) >= 3)
-    alike = jaccard(_content(new), _content(old)) >= 0.6
 
-    def way(decision: Column) -> Column:
-        return F.when(decision == "SAME_CLAIM", "SAME_CLAIM").when((decision == "POTENTIAL_CONTRADICTION") & close, "CONTRADICTION").when((decision == "AMBIGUOUS_CLAIM") & alike, "AMBIGUOUS")
+    def of(like: C.Likeness) -> Column:
+        a, b = like.content_sizes()
+        alike = F.when(a + b > like.heavy, like.heavy / (a + b - like.heavy) >= 0.6).otherwise(False)
+        close = (like.jaccard >= 0.40) & (like.heavy >= 3)
+
+        def way(decision: Column) -> Column:
+            return F.when(decision == "SAME_CLAIM", "SAME_CLAIM").when((decision == "POTENTIAL_CONTRADICTION") & close, "CONTRADICTION").when((decision == "AMBIGUOUS_CLAIM") & alike, "AMBIGUOUS")
+
+        return F.when(like.n > 0, once(C.decided(new, old, like), way)).when(new["fingerprint"] == old["fingerprint"], "SAME_CLAIM")
 
-    return once(C.compare(new, old)["decision"], way)
+    return C.met_in_words(new, old, of)
 
 
-def joined_events(claims: DataFrame, claim_id: str, event: str, k: int = 40, range_rows: int = RANGE_ROWS) -> DataFrame:
+def joined_events(claims: DataFrame, claim_id: str, event: str, k: int = 40, range_rows: int = CLAIM_ROWS) -> DataFrame:
     """JOIN-31, JOIN-35: claim_id, joined_event and via of each claim (column ``claim``) against those before it: the newest with its
     fingerprint, however old, else the newest of the last ``k`` that it meets; null where it opens an event of its own.
 
@@ -66,9 +69,11 @@ def joined_events(claims: DataFrame, claim_id: str, event: str, k: int = 40, ran
     exact = rows.withColumn("_own", own).join(last, ["print", "part"]).select("id", F.coalesce("_own", "earlier").alias("exact"))
     stretch = F.floor(F.col("place") / k).cast("long")
     old = rows.select(F.col("place").alias("old_place"), F.col("event").alias("old_event"), F.col("claim").alias("old"), F.explode(F.array(stretch, stretch + 1)).alias("stretch"))
-    pairs = rows.where(F.size(_content(F.col("claim"))) > 0).withColumn("stretch", stretch).join(old, "stretch")
-    pairs = pairs.where((F.col("old_place") < F.col("place")) & (F.col("old_place") >= F.col("place") - k) & F.arrays_overlap("claim.tokens", "old.tokens"))
-    near = pairs.withColumn("via", met(F.col("claim"), F.col("old"))).where("via IS NOT NULL").groupBy("id").agg(F.max(F.struct("old_place", "old_event", "via")).alias("near"))
+    pairs = rows.where(F.size(C.content(F.col("claim"))) > 0).withColumn("stretch", stretch).join(old, "stretch")
+    pairs = pairs.where((F.col("old_place") < F.col("place")) & (F.col("old_place") >= F.col("place") - k))
+    # no filter on via, which would be moved before the projection and compare each pair a second time
+    near = pairs.select("id", "old_place", "old_event", met(F.col("claim"), F.col("old")).alias("via"))
+    near = near.groupBy("id").agg(F.max(F.when(F.col("via").isNotNull(), F.struct("old_place", "old_event", "via"))).alias("near"))
     out = exact.join(near, "id", "left")
     return out.select(F.col("id").alias(claim_id), F.coalesce("exact", "near.old_event").alias("joined_event"), F.when(F.col("exact").isNotNull(), "FINGERPRINT").otherwise(F.col("near.via")).alias("via"))
 
@@ -114,7 +119,7 @@ def same_across_events(claims: DataFrame, events: DataFrame, top: int = 3) -> Da
         pairs = met_ if pairs is None else pairs.unionByName(met_)
     a, b = (rows.select(F.col("claim_id").alias(f"claim_{x}"), F.col("claim").alias(x)) for x in "ab")
     full = pairs.distinct().join(a, "claim_a").join(b, "claim_b")
-    return full.where(C.compare(F.col("a"), F.col("b"))["decision"] == "SAME_CLAIM").select("event_a", "event_b", "claim_a", "claim_b")
+    return full.where(C.decision(F.col("a"), F.col("b")) == "SAME_CLAIM").select("event_a", "event_b", "claim_a", "claim_b")
 
 
 def evidence_groups(items: DataFrame, most: int = 5) -> DataFrame:

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from . import claims as C
 from . import lexicon as L
-from .rules import FLOORS, any_of, gate_form, promotional
-from .text import ARABIC_LETTERS
+from .rules import FLOORS, any_of, gate_form
+from .text import ARABIC_LETTERS, once, stripped, translated
 
 # Fixed values.
 ERROR_NOTICES = [
@@ -114,17 +114,21 @@ def _matches(text: Column, patterns: list[str], g: Gates) -> Column:
 def copy_lines(headline: Column, body: Column) -> Column:
     """Lines of public copy without footers, marks of diacritics and emphasis, and what isn't a word at their start."""
     text = F.concat(F.coalesce(headline, F.lit("")), F.lit("\n"), F.coalesce(body, F.lit("")))
-    lines = F.transform(F.split(text, "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", ""))
+    # the range before && settles most characters by one comparison
+    lines = F.transform(F.split(text, "\r\n|[\n-\x1e\x85-\u2029&&[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]]"), lambda s: stripped(s))
     kept = F.filter(lines, lambda s: (s != "") & ~s.rlike("^(?:" + "|".join(FOOTER_STARTS) + ")"))
-    plain = F.transform(kept, lambda s: F.regexp_replace(F.translate(s, ARABIC_LETTERS[0] + C.ZWNJ, ARABIC_LETTERS[1] + " "), "[\\u064b-\\u065f\\u0670*]", ""))
-    bare = F.transform(plain, lambda s: F.regexp_replace(F.regexp_replace(s, r"^[^\p{L}\p{N}_؀-ۿ]+", ""), r"(?U)^\s+|\s+$", ""))
+    plain = F.transform(kept, lambda s: F.regexp_replace(translated(s, ARABIC_LETTERS[0] + C.ZWNJ, ARABIC_LETTERS[1] + " "), "[*\\u064b-\\u0670&&[\\u064b-\\u065f\\u0670*]]", ""))
+    bare = F.transform(plain, lambda s: stripped(F.regexp_replace(s, r"^[^\p{L}\p{N}_؀-ۿ]+", "")))
     return F.filter(bare, lambda s: s != "")
 
 
 def unpublishable(headline: Column, body: Column, g: Gates = PERSIAN) -> Column:
     """FLT-01: why copy isn't fit to publish: a notice of an error, words of mixed scripts, an end that dangles, an announcement
     of a programme; null if none."""
-    lines = copy_lines(headline, body)
+    return once(copy_lines(headline, body), lambda lines: _unfit(lines, g))
+
+
+def _unfit(lines: Column, g: Gates) -> Column:
     notice = F.exists(lines, lambda s: s.rlike(g.pattern("(?:" + ")|(?:".join(g.notices) + ")", "i")))
     news = F.filter(lines, lambda s: ~F.lit(False) if not g.generic else ~s.rlike("^(?:" + "|".join(g.generic) + ")"))
     return (
@@ -139,22 +143,31 @@ def live_page(headline: Column, body: Column, g: Gates = PERSIAN) -> Column:
     return _matches(gate_form(headline, body), g.live, g)
 
 
+def _abusive(t: Column, g: Gates) -> Column:
+    return _matches(t, g.abuse, g) & ~any_of(t, g.lexicon.material)
+
+
 def abusive(headline: Column, body: Column, g: Gates = PERSIAN) -> Column:
     """FLT-04: abuse, unless there is material substance."""
-    t = gate_form(headline, body)
-    return _matches(t, g.abuse, g) & ~any_of(t, g.lexicon.material)
+    return once(gate_form(headline, body), lambda t: _abusive(t, g))
+
+
+def _trivial(t: Column, g: Gates) -> Column:
+    return _matches(t, g.trivia, g) & ~any_of(t, g.lexicon.material[:24])
 
 
 def trivial(headline: Column, body: Column, g: Gates = PERSIAN) -> Column:
     """FLT-05: trivia, unless the first 24 material words show substance."""
-    t = gate_form(headline, body)
-    return _matches(t, g.trivia, g) & ~any_of(t, g.lexicon.material[:24])
+    return once(gate_form(headline, body), lambda t: _trivial(t, g))
+
+
+def _ceremonial(t: Column, g: Gates) -> Column:
+    return _matches(t, g.ceremony, g) & ~any_of(t, g.lexicon.material)
 
 
 def ceremonial(headline: Column, body: Column, g: Gates = PERSIAN) -> Column:
     """FLT-06: protocol alone."""
-    t = gate_form(headline, body)
-    return _matches(t, g.ceremony, g) & ~any_of(t, g.lexicon.material)
+    return once(gate_form(headline, body), lambda t: _ceremonial(t, g))
 
 
 def anchored(text: Column, g: Gates = PERSIAN) -> Column:
@@ -167,7 +180,10 @@ def context_incomplete(headline: Column, body: Column, g: Gates = PERSIAN) -> Co
 
     "This country" needs a country before it; what comes after is often whom it acts upon.
     """
-    h, full = gate_form(headline), gate_form(headline, body)
+    return once(F.struct(gate_form(headline).alias("h"), gate_form(headline, body).alias("t")), lambda x: _incomplete(x["h"], x["t"], g))
+
+
+def _incomplete(h: Column, full: Column, g: Gates) -> Column:
     before = F.regexp_extract(h, g.pattern(f"^(.*?){g.this_country}", "s"), 1)
     unnamed = h.rlike(g.pattern(g.this_country)) & ~any_of(before, g.countries)
     bare = (h.rlike(g.pattern(g.pronoun)) | h.rlike(g.pattern(g.role))) & ~anchored(full, g)
@@ -176,33 +192,37 @@ def context_incomplete(headline: Column, body: Column, g: Gates = PERSIAN) -> Co
 
 def home_related(text: Column, g: Gates = PERSIAN) -> Column:
     """FLT-10: about the home country; sport and entertainment only where its name is in the text."""
-    t = F.lower(F.coalesce(text, F.lit("")))
+    return once(F.lower(F.coalesce(text, F.lit(""))), lambda t: _about_home(t, g))
+
+
+def _about_home(t: Column, g: Gates) -> Column:
     return ~(any_of(t, g.blockers) & ~any_of(t, g.core)) & any_of(t, g.home)
 
 
 def in_scope(headline: Column, body: Column, g: Gates = PERSIAN) -> Column:
     """FLT-10: about home, or of substance and about a neighbour."""
     t = F.lower(F.concat_ws(" ", F.coalesce(headline, F.lit("")), F.coalesce(body, F.lit(""))))
-    return home_related(t, g) | (any_of(t, g.neighbours) & any_of(t, g.substance))
+    return once(t, lambda t: _about_home(t, g) | (any_of(t, g.neighbours) & any_of(t, g.substance)))
 
 
 def publication_gate(headline: Column, body: Column, weight: Column, duplicate: Column | None = None, g: Gates = PERSIAN) -> Column:
     """FLT-11: the first of ten reasons to hold a story, null to publish it; duplicate: whether FLT-09 found it sent before."""
-    t = gate_form(headline, body)
-    floor = F.when(any_of(t, g.lexicon.home), FLOORS[0]).when(any_of(t, g.lexicon.region), FLOORS[1]).otherwise(FLOORS[2])
-    reason = unpublishable(headline, body, g)
-    return (
-        F.when(reason.isNotNull(), reason)
-        .when(promotional(headline, body, g.lexicon), "HOLD_PROMOTIONAL_CONTENT")
-        .when(live_page(headline, body, g), "HOLD_LIVEBLOG_BOILERPLATE")
-        .when(abusive(headline, body, g), "HOLD_ABUSIVE")
-        .when(trivial(headline, body, g), "LOW_VALUE_CONTENT")
-        .when(ceremonial(headline, body, g), "LOW_MATERIALITY")
-        .when(context_incomplete(headline, body, g), "CONTEXT_INCOMPLETE")
-        .when(weight < floor, "MATERIALITY_FLOOR")
-        .when(F.lit(False) if duplicate is None else F.coalesce(duplicate, F.lit(False)), "DROP_DUPLICATE")
-        .when(~in_scope(headline, body, g), "OUT_OF_EDITORIAL_SCOPE")
-    )
+
+    def rest(t: Column) -> Column:
+        floor = F.when(any_of(t, g.lexicon.home), FLOORS[0]).when(any_of(t, g.lexicon.region), FLOORS[1]).otherwise(FLOORS[2])
+        return (
+            F.when(once(F.lower(t), lambda low: any_of(low, g.lexicon.promo_calls) & any_of(low, g.lexicon.promo_offers)), "HOLD_PROMOTIONAL_CONTENT")
+            .when(_matches(t, g.live, g), "HOLD_LIVEBLOG_BOILERPLATE")
+            .when(_abusive(t, g), "HOLD_ABUSIVE")
+            .when(_trivial(t, g), "LOW_VALUE_CONTENT")
+            .when(_ceremonial(t, g), "LOW_MATERIALITY")
+            .when(once(gate_form(headline), lambda h: _incomplete(h, t, g)), "CONTEXT_INCOMPLETE")
+            .when(weight < floor, "MATERIALITY_FLOOR")
+            .when(F.lit(False) if duplicate is None else F.coalesce(duplicate, F.lit(False)), "DROP_DUPLICATE")
+            .when(~in_scope(headline, body, g), "OUT_OF_EDITORIAL_SCOPE")
+        )
+
+    return F.coalesce(unpublishable(headline, body, g), once(gate_form(headline, body), rest))
 
 
 def completeness(text: Column, hint: Column | None = None, lex: L.Lexicon = L.PERSIAN) -> Column:

@@ -22,9 +22,9 @@ def bundle(spark: SparkSession, path: str) -> Bundle:
     return Bundle(spark, path, SCHEMAS)
 
 
-def _prints(items: DataFrame) -> DataFrame:
+def _with_prints(items: DataFrame) -> DataFrame:
     url = R.canonical_url(F.col("url"))
-    return items.select("item_key", F.sha2(url, 256).alias("canonical_url_hash"), T.content_hash(F.col("text")).alias("content_hash"), F.sha2(T.normalized_title(F.col("title")), 256).alias("title_norm_hash"))
+    return items.withColumns({"canonical_url_hash": F.sha2(url, 256), "content_hash": T.content_hash(F.col("text")), "title_norm_hash": F.sha2(T.normalized_title(F.col("title")), 256)})
 
 
 def insert_items(to: Bundle, items: DataFrame) -> int:
@@ -39,9 +39,8 @@ def insert_items(to: Bundle, items: DataFrame) -> int:
         key = F.sha2(F.concat_ws("\x1f", F.col("source_id").cast("string"), "external_key"), 256)
         known = to.read("raw_items", version).select("item_key").distinct()
         new = items.withColumn("_nth", nth).where("_nth = 1").drop("_nth").withColumn("item_key", key).join(known, "item_key", "left_anti")
-        prints = _prints(new)
-        revisions = new.join(prints.select("item_key", "content_hash"), "item_key").withColumn("rev_no", F.lit(1))
-        return {"appended": {"raw_items": new, "item_fingerprints": prints, "item_revisions": revisions}}
+        once = to.staged(_with_prints(new))
+        return {"appended": {"raw_items": once, "item_fingerprints": once, "item_revisions": once.withColumn("rev_no", F.lit(1))}}
 
     return to.transact(make)
 
